@@ -17,7 +17,7 @@ def tokenizer_path(name: str) -> str:
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, lengths, _ = token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
-    return token_files.read_token_files(files, lengths).drop("token_ids")
+    return token_files.read_token_files(files, lengths, with_ids=False)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 1. Documents are range-partitioned and sorted by doc_id and encoded; a row of the intermediate table is a block of whole
    documents' plain ids.
-2. Global counts of ids: a histogram in each task, summed by id (at most one row for each id and task is shuffled).
+2. Global counts of ids: each task's last block carries the task's histogram; they are summed by id (at most one row for
+   each id and task is shuffled).
 3. Blocks are coded with the canonical code made from those counts (the code's lengths are 50 KB, whatever the input).
 4. Readers decode each block on its own.  A document's start is its block's start plus what precedes it in the block;
    the starts of blocks come from the blocks' token counts: a running sum within each part, and one over the parts.
@@ -25,15 +26,44 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import huffman
-from .bpe import WordMemo, slices
+from .bpe import MEMO, slices
 from .store import drop, keep, tasks
 
 BLOCK_TOKENS = 65_536
 NO_ID = -(2**63)
 
 
+class Words(dict):
+    """Ids of parts of texts between single spaces, each asked of the library once.
+
+    A byte-level pattern cuts a part at a line break between other characters, and between a letter and a last mark; such
+    parts are put together from their pieces.  A part that is empty or begins with white space has no entry.
+    """
+
+    MARKS = ".,;:!?"
+
+    def __init__(self, encode, lead: str, heads: Words | None = None):
+        super().__init__()
+        self.encode, self.lead, self.heads, self.chars = encode, lead, self if heads is None else heads, 0
+        self.marks = {c: encode(c) for c in self.MARKS}
+        self.line_break = encode("\n")
+
+    def __missing__(self, part: str) -> bytes:
+        if not part or part[0].isspace():
+            raise KeyError(part)
+        if "\n" in part:
+            left, right = part.split("\n", 1)
+            if left and right and not left[-1].isspace() and not right[0].isspace():
+                return self[left] + self.line_break + self.heads[right]
+        mark = self.marks.get(part[-1])
+        ids = self[part[:-1]] + mark if mark and len(part) > 1 and part[-2].isalpha() else self.encode(self.lead + part)
+        self[part] = ids
+        self.chars += len(part)
+        return ids
+
+
 class LibraryEncoder:
-    """The tokenizers library, asked once for each distinct word part (bounded memo)."""
+    """The tokenizers library, asked once for each distinct word (bounded memo)."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -41,13 +71,26 @@ class LibraryEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.words = WordMemo(self._learn)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.heads = Words(self._encode, "")
+        self.tails = Words(self._encode, " ", self.heads)
 
-    def _learn(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        return self.words.encode_batch(texts)
+        if len(self.heads) + len(self.tails) > MEMO or self.heads.chars + self.tails.chars > 40 * MEMO:
+            self._forget()
+        get, out = self.tails.__getitem__, []
+        for text in texts:
+            head, *rest = text.split(" ")
+            try:
+                out.append(self.heads[head] + b"".join(map(get, rest)))
+            except KeyError:  # a space before white space or at an end
+                out.append(self._encode(text))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -55,7 +98,7 @@ def library(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-def _plain_blocks(df: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def _plain_blocks(df: DataFrame, tokenizer: str, end_id: int, vocabulary: int) -> DataFrame:
     rows = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange(tasks(df.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
 
@@ -68,8 +111,11 @@ def _plain_blocks(df: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         sizes: list[int] = []
         parts: list[bytes] = []
         total = 0
+        counts = np.zeros(vocabulary, dtype="<i8")
 
-        def out():
+        def out(last: bool = False):
+            tokens = np.frombuffer(b"".join(parts), "<u4").astype("<u2")
+            counts[:] += np.bincount(tokens, minlength=vocabulary)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int64()),
@@ -77,9 +123,10 @@ def _plain_blocks(df: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                     pa.array([total], pa.int64()),
                     pa.array([np.array(ids, "<i8").tobytes()], pa.binary()),
                     pa.array([np.array(sizes, "<u8").tobytes()], pa.binary()),
-                    pa.array([np.frombuffer(b"".join(parts), "<u4").astype("<u2" if end_id < 2**16 else "<u4").tobytes()], pa.binary()),
+                    pa.array([tokens.tobytes()], pa.binary()),
+                    pa.array([counts.tobytes() if last else None], pa.binary()),
                 ],
-                names=["part", "block", "n_tokens", "doc_ids", "sizes", "tokens"],
+                names=["part", "block", "n_tokens", "doc_ids", "sizes", "tokens", "counts"],
             )
 
         for batch in batches:
@@ -93,10 +140,10 @@ def _plain_blocks(df: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                     if total >= BLOCK_TOKENS:
                         yield out()
                         ids, sizes, parts, total, block = [], [], [], 0, block + 1
-        if ids:
-            yield out()
+        if ids or block:
+            yield out(last=True)
 
-    return rows.mapInArrow(run, "part long, block long, n_tokens long, doc_ids binary, sizes binary, tokens binary")
+    return rows.mapInArrow(run, "part long, block long, n_tokens long, doc_ids binary, sizes binary, tokens binary, counts binary")
 
 
 def _rows(batch: pa.RecordBatch):
@@ -108,12 +155,12 @@ def _counts(blocks: DataFrame, vocabulary: int) -> np.ndarray:
     def run(batches):
         total = np.zeros(vocabulary, dtype=np.int64)
         for batch in batches:
-            for (tokens,) in _rows(batch):
-                total += np.bincount(np.frombuffer(tokens, "<u2"), minlength=vocabulary)
+            for (counts,) in _rows(batch):
+                total += np.frombuffer(counts, "<i8")
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
-    rows = blocks.select("tokens").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = blocks.select("counts").where("counts IS NOT NULL").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(vocabulary, dtype=np.int64)
     counts[rows["id"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
     return counts
@@ -122,7 +169,7 @@ def _counts(blocks: DataFrame, vocabulary: int) -> np.ndarray:
 def write_token_files(df: DataFrame, tokenizer: str, end_id: int = 2, vocabulary: int = 65_536) -> tuple[DataFrame, np.ndarray, str]:
     """Write documents' ids; returns the table of blocks (part, block, n_tokens, data), code lengths and its path."""
     spark = df.sparkSession
-    plain, plain_path = keep(_plain_blocks(df, tokenizer, end_id), "plain-ids")
+    plain, plain_path = keep(_plain_blocks(df, tokenizer, end_id, vocabulary), "plain-ids")
     lengths = huffman.code_lengths(_counts(plain, vocabulary))
     codes = huffman.canonical(lengths)
     shared = spark.sparkContext.broadcast((codes, lengths))
@@ -134,15 +181,15 @@ def write_token_files(df: DataFrame, tokenizer: str, end_id: int = 2, vocabulary
                 data = huffman.write_block(np.frombuffer(doc_ids, "<i8"), np.frombuffer(sizes, "<u8"), np.frombuffer(tokens, "<u2"), codes, lengths)
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([block], pa.int64()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], names=["part", "block", "n_tokens", "data"])
 
-    files = plain.mapInArrow(run, "part long, block long, n_tokens long, data binary")
+    files = plain.drop("counts").mapInArrow(run, "part long, block long, n_tokens long, data binary")
     path = plain_path + "-files"
     files.write.option("compression", "uncompressed").parquet(path)
     drop(spark, plain_path)
     return spark.read.schema(files.schema).parquet(path), lengths, path
 
 
-def read_token_files(files: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """Decode blocks: doc_id, start, n_tokens, ids_crc32, token_ids (binary, little-endian unsigned 32-bit)."""
+def read_token_files(files: DataFrame, lengths: np.ndarray, with_ids: bool = True) -> DataFrame:
+    """Decode blocks: doc_id, start, n_tokens, ids_crc32 and, if asked for, token_ids (binary, little-endian unsigned 32-bit)."""
     spark = files.sparkSession
     shared = spark.sparkContext.broadcast(lengths)
     sizes = files.groupBy("part", "block").agg(F.sum("n_tokens").alias("n"))
@@ -162,22 +209,21 @@ def read_token_files(files: DataFrame, lengths: np.ndarray) -> DataFrame:
                 raw, ends = tokens.astype("<u4").tobytes(), np.cumsum(n)
                 cut = [raw[4 * (e - k) : 4 * e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
                 size = len(cut)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([part] * size, pa.int64()),
-                        pa.array([block] * size, pa.int64()),
-                        pa.array(doc_ids, pa.int64()),
-                        pa.array(ends - n, pa.int64()),
-                        pa.array(n, pa.int64()),
-                        pa.array([zlib.crc32(x) for x in cut], pa.int64()),
-                        pa.array(cut, pa.binary()),
-                    ],
-                    names=["part", "block", "doc_id", "offset", "n_tokens", "ids_crc32", "token_ids"],
-                )
-
-    rows = files.select("part", "block", "data").mapInArrow(run, "part long, block long, doc_id long, offset long, n_tokens long, ids_crc32 long, token_ids binary")
+                columns = [
+                    pa.array([part] * size, pa.int64()),
+                    pa.array([block] * size, pa.int64()),
+                    pa.array(doc_ids, pa.int64()),
+                    pa.array(ends - n, pa.int64()),
+                    pa.array(n, pa.int64()),
+                    pa.array([zlib.crc32(x) for x in cut], pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(cut, pa.binary())] * with_ids, names=names)
+
+    names = ["part", "block", "doc_id", "offset", "n_tokens", "ids_crc32"] + ["token_ids"] * with_ids
+    schema = "part long, block long, doc_id long, offset long, n_tokens long, ids_crc32 long" + ", token_ids binary" * with_ids
+    rows = files.select("part", "block", "data").mapInArrow(run, schema)
     doc_id = F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id")
-    return rows.join(starts, ["part", "block"]).select(doc_id, (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", "token_ids")
+    return rows.join(starts, ["part", "block"]).select(doc_id, (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", *["token_ids"] * with_ids)
 
 
 @lru_cache(maxsize=2)
