@@ -256,14 +256,14 @@ def encode_documents(df, path: str, pattern: str, keep: list[str], text: str = "
     from pyspark.sql import types as T
 
     keep = [c for c in keep if c not in ("token_ids", "n_tokens", "decoded_sha256")]
-    rows = df.select(*keep, F.col(text).cast("string").alias("__text"))
+    rows = df.select(*keep, F.col(text).cast("string").alias("__tf_text"))
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("token_ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches):
         bpe = coder(path, pattern)
         for batch in batches:
             kept = batch.select(keep) if keep else None
-            for lo, texts in slices(batch, "__text"):
+            for lo, texts in slices(batch, "__tf_text"):
                 ids = bpe.encode_batch(texts)
                 columns = [kept.column(i).slice(lo, len(texts)) for i in range(len(keep))]
                 digests = [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]

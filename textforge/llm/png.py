@@ -144,7 +144,7 @@ def add_media(df, keep: list[str], text: str = "text"):
 
     def run(batches):
         for batch in batches:
-            for lo, texts in slices(batch, "__text"):
+            for lo, texts in slices(batch, "__tf_text"):
                 rows = []
                 for text in texts:
                     payload, n = payload_of(text)
@@ -156,4 +156,4 @@ def add_media(df, keep: list[str], text: str = "text"):
                 types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=schema.fieldNames())
 
-    return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text).cast("string").alias("__tf_text")).mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, png, secret_scan, simhash, token_files
+from . import bpe, html_crf, line_dedup, mixing, order_minhash, png, secret_scan, simhash, token_files, toxicity
 from .store import table
 
 
@@ -20,6 +20,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(files, lengths, with_ids=False)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars", "removed_chars")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -28,11 +32,25 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.add_secrets(table(spark, sf_dir, "documents"), ["doc_id"], secret_scan.trained()).drop("n_model")
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.add_main_text(table(spark, sf_dir, "pages"), ["page_id", "url"], html_crf.trained())
+
+
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.groups(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = toxicity.add_score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.compare_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,7 +63,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.lower(F.hex("media_hash")).alias("feature"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_mix_sources, op4_secret_scan, op6_simhash_groups, op9_bpe, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_line_dedup, op3_mix_sources, op4_secret_scan, op5_main_text, op6_simhash_groups, op7_toxicity, op8_order_minhash, op9_bpe, op10_media)}
 
 WORDS = r"[^\x20\x09-\x0D]+"
 ORACLE = {

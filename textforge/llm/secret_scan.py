@@ -222,7 +222,7 @@ def add_secrets(df, keep: list[str], net: Network, text: str = "text"):
     def run(batches):
         net = shared.value
         for batch in batches:
-            for lo, texts in slices(batch, "__text"):
+            for lo, texts in slices(batch, "__tf_text"):
                 rows = []
                 for t in texts:
                     base, more = scan(t, net)
@@ -234,4 +234,4 @@ def add_secrets(df, keep: list[str], net: Network, text: str = "text"):
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=schema.fieldNames())
 
-    return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text).cast("string").alias("__tf_text")).mapInArrow(run, schema)

@@ -58,11 +58,11 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for lo, texts in slices(batch, "__text"):
+            for lo, texts in slices(batch, "__tf_text"):
                 fps = [simhash(shingle_hashes(t, k)) for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("__tf_text")).mapInArrow(run, schema)
 
 
 def ball_links(fps: DataFrame) -> DataFrame:
