@@ -7,8 +7,8 @@ Candidates come from two sources over distinct texts (equal texts are one, whate
   beyond any ball that can be emitted.  So each text also has VIEWS fingerprints, each a hash of the PICK shingles
   smallest in a permutation; texts as alike as 0.8 share one of them with a probability over 0.999.
 
-In each bucket every text is paired with the smallest one.  Pairs are verified by the exact Jaccard similarity of their
-shingle sets, and verified pairs make groups.  Texts of fewer than five words are one shingle; those without words are one group.
+In each bucket every text is paired with the smallest one.  Pairs are verified by the Jaccard similarity of their whole
+shingle sets (as 32-bit hashes), and verified pairs make groups.  Texts of fewer than five words are one shingle; those without words are one group.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 for text in texts:
                     every = shingle_hashes(text, WORDS)
                     hashes = np.unique(every)
-                    rows.append((simhash(every), view_fingerprints(hashes), hashes.astype("<u8").tobytes()))
+                    rows.append((simhash(every), view_fingerprints(hashes), np.unique(hashes.astype("<u4")).tobytes()))
                 fp, views, sets = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array(fp, pa.int64()), pa.array(views, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["t", "fp", "views", "shingles"])
 
@@ -64,7 +64,7 @@ def _verified(pairs: DataFrame) -> DataFrame:
             a, b, x, y = batch.columns
             good = []
             for i in range(batch.num_rows):
-                p, q = np.frombuffer(x[i].as_py(), "<u8"), np.frombuffer(y[i].as_py(), "<u8")
+                p, q = np.frombuffer(x[i].as_py(), "<u4"), np.frombuffer(y[i].as_py(), "<u4")
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 good.append(both >= SIMILARITY * (len(p) + len(q) - both))
             mask = pa.array(good, pa.bool_())
