@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 
 WIDE = 256
-MEMO = 1_000_000
+MEMO = 400_000
 INF = np.int64(2**62)
 
 

@@ -26,10 +26,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import huffman
-from .bpe import MEMO, slices
+from .bpe import slices
 from .store import drop, keep, tasks
 
 BLOCK_TOKENS = 65_536
+MEMO = 1_000_000
 NO_ID = -(2**63)
 
 

@@ -34,7 +34,7 @@ SURE = 8.0
 WORD = re.compile(r"\w+")
 #: Common insults, as one voter's lexicon.
 INSULTS = "idiot idiots moron morons stupid scum trash loser losers worthless pathetic disgusting clown fool imbecile dumb jerk".split()
-MEMO = 400_000
+MEMO = 150_000
 
 
 def features(word: str) -> tuple[int, ...]:
