@@ -22,7 +22,7 @@ def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> Spark
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each context; its Python functions run there."""
+    """Send this package to the executors, once for each context; its Python functions run there, on batches of 2,000 rows."""
     context = spark.sparkContext
     if getattr(context, "_textforge_shipped", False):
         return
@@ -33,3 +33,6 @@ def ship(spark: SparkSession) -> None:
             z.write(file, f"textforge/{file.relative_to(HERE)}")
     context.addPyFile(path)
     context._textforge_shipped = True
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # rows are whole documents here: the default would make batches of tens of megabytes
+        spark.conf.set(key, "2000")
