@@ -29,7 +29,7 @@ from . import huffman
 from .bpe import slices
 from .store import drop, keep, tasks
 
-BLOCK_TOKENS = 65_536
+BLOCK_TOKENS = 262_144
 MEMO = 1_000_000
 NO_ID = -(2**63)
 
