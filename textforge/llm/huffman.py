@@ -13,7 +13,7 @@ import zlib
 import numpy as np
 
 LIMIT = 18
-STEP = 256
+STEP = 128
 MAGIC = b"TFH1"
 HEADER = struct.Struct("<4sQQQI")
 

@@ -30,7 +30,7 @@ from .bpe import slices
 from .store import drop, keep, tasks
 
 BLOCK_TOKENS = 262_144
-MEMO = 1_000_000
+MEMO = 2_000_000
 NO_ID = -(2**63)
 
 
@@ -86,7 +86,8 @@ class LibraryEncoder:
             self._forget()
         get, out = self.tails.__getitem__, []
         for text in texts:
-            head, *rest = text.split(" ")
+            rest = iter(text.split(" "))
+            head = next(rest)
             try:
                 out.append(self.heads[head] + b"".join(map(get, rest)))
             except KeyError:  # a space before white space or at an end
