@@ -210,6 +210,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     drop(docs.sparkSession, found_path)
     one = F.struct("h", "a")
     first = places.where("d = first").groupBy("c1", "c2").agg(F.min(one).alias("at"), F.min_by(F.struct("left", "body", "right"), one).alias("of"))
+    # As a table of its own it is shuffled for the join, and Spark can split a hot chunk's occurrences over tasks.
+    first, _ = keep(first, "first-places")
     pairs = places.alias("p").join(first.alias("f"), ["c1", "c2"]).where("NOT (p.d = p.first AND p.h = f.at.h AND p.a = f.at.a)")
     spans = _spans(pairs.select("p.d", "p.h", "p.a", "p.b", "p.left", "p.body", "p.right", F.col("f.of.left").alias("left2"), F.col("f.of.body").alias("body2"), F.col("f.of.right").alias("right2")))
     joined = keyed.join(_kept(spans), ["__tf_d", "__tf_h"], "left")
