@@ -16,7 +16,6 @@ stored as the lowest 64-bit integer.  Other columns are ignored.
 from __future__ import annotations
 
 import os
-from array import array
 import zlib
 from functools import lru_cache
 
@@ -49,18 +48,40 @@ class Words(dict):
         self.marks = {c: encode(c) for c in self.MARKS}
         self.line_break = encode("\n")
 
-    def __missing__(self, part: str) -> bytes:
-        if not part or part[0].isspace():
-            raise KeyError(part)
+    def _cut(self, part: str) -> tuple[str, bytes]:
+        """The part's first piece, and the ids of what follows it."""
         if "\n" in part:
             left, right = part.split("\n", 1)
             if left and right and not left[-1].isspace() and not right[0].isspace():
-                return self[left] + self.line_break + self.heads[right]
-        mark = self.marks.get(part[-1])
-        ids = self[part[:-1]] + mark if mark and len(part) > 1 and part[-2].isalpha() else self.encode(self.lead + part)
+                return left, self.line_break + self.heads[right]
+        if len(part) > 1 and part[-1] in self.marks and part[-2].isalpha():
+            return part[:-1], self.marks[part[-1]]
+        return part, b""
+
+    def __missing__(self, part: str) -> bytes:
+        if not part or part[0].isspace():
+            raise KeyError(part)
+        left, rest = self._cut(part)
+        ids = self[left] + rest if rest else self.encode(self.lead + part)
+        self.put(part, ids)
+        return ids
+
+    def put(self, part: str, ids: bytes) -> None:
         self[part] = ids
         self.chars += len(part)
-        return ids
+
+    def pieces(self, parts) -> set[str]:
+        """The pieces without entries that these parts' ids are put together from."""
+        found = set()
+        for part in parts:
+            if part and not part[0].isspace():
+                left, rest = self._cut(part)
+                while rest:
+                    part = left
+                    left, rest = self._cut(part)
+                if part not in self:
+                    found.add(part)
+        return found
 
 
 class LibraryEncoder:
@@ -72,21 +93,41 @@ class LibraryEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.model._resize_cache(0)  # each piece is new to the library
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.spaced[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True  # the byte-level form of a space
         self._forget()
 
     def _forget(self) -> None:
         self.heads = Words(self._encode, "")
         self.tails = Words(self._encode, " ", self.heads)
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
     def _encode(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return self._ids(text).tobytes()
+
+    def _learn(self, parts: set[str]) -> None:
+        """Entries for new parts, by one call for all of them: each part's first id, and no other, begins with a space."""
+        pieces = list(self.tails.pieces(parts))
+        ids = self._ids(" " + " ".join(pieces) if pieces else "")
+        starts = np.flatnonzero(self.spaced[ids])
+        if len(starts) == len(pieces):
+            raw = ids.tobytes()
+            at = [*(4 * starts).tolist(), len(raw)]
+            for piece, lo, hi in zip(pieces, at, at[1:]):
+                self.tails.put(piece, raw[lo:hi])
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         if len(self.heads) + len(self.tails) > MEMO or self.heads.chars + self.tails.chars > 40 * MEMO:
             self._forget()
         get, out = self.tails.__getitem__, []
-        for text in texts:
-            rest = iter(text.split(" "))
+        split = [text.split(" ") for text in texts]
+        self._learn(set().union(*split).difference(self.tails))
+        for text, rest in zip(texts, split, strict=True):
+            rest = iter(rest)
             head = next(rest)
             try:
                 out.append(self.heads[head] + b"".join(map(get, rest)))
