@@ -33,106 +33,66 @@ MEMO = 2_000_000
 NO_ID = -(2**63)
 
 
-class Words(dict):
-    """Ids of parts of texts between single spaces, each asked of the library once.
+class LibraryEncoder:
+    """The tokenizers library, asked once for each distinct part of texts between single spaces (bounded memo).
 
-    A byte-level pattern cuts a part at a line break between other characters, and between a letter and a last mark; such
-    parts are put together from their pieces.  A part that is empty or begins with white space has no entry.
+    The byte-level pattern never joins what a space begins to what precedes it, so parts can be encoded in any company.
+    Texts with a part that is empty or begins with white space go to the library whole.
     """
 
-    MARKS = ".,;:!?"
-
-    def __init__(self, encode, lead: str, heads: Words | None = None):
-        super().__init__()
-        self.encode, self.lead, self.heads, self.chars = encode, lead, self if heads is None else heads, 0
-        self.marks = {c: encode(c) for c in self.MARKS}
-        self.line_break = encode("\n")
-
-    def _cut(self, part: str) -> tuple[str, bytes]:
-        """The part's first piece, and the ids of what follows it."""
-        if "\n" in part:
-            left, right = part.split("\n", 1)
-            if left and right and not left[-1].isspace() and not right[0].isspace():
-                return left, self.line_break + self.heads[right]
-        if len(part) > 1 and part[-1] in self.marks and part[-2].isalpha():
-            return part[:-1], self.marks[part[-1]]
-        return part, b""
-
-    def __missing__(self, part: str) -> bytes:
-        if not part or part[0].isspace():
-            raise KeyError(part)
-        left, rest = self._cut(part)
-        ids = self[left] + rest if rest else self.encode(self.lead + part)
-        self.put(part, ids)
-        return ids
-
-    def put(self, part: str, ids: bytes) -> None:
-        self[part] = ids
-        self.chars += len(part)
-
-    def pieces(self, parts) -> set[str]:
-        """The pieces without entries that these parts' ids are put together from."""
-        found = set()
-        for part in parts:
-            if part and not part[0].isspace():
-                left, rest = self._cut(part)
-                while rest:
-                    part = left
-                    left, rest = self._cut(part)
-                if part not in self:
-                    found.add(part)
-        return found
-
-
-class LibraryEncoder:
-    """The tokenizers library, asked once for each distinct word (bounded memo)."""
-
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.tokenizer.model._resize_cache(0)  # each piece is new to the library
+        self.tokenizer.model._resize_cache(0)  # each part is new to the library
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.spaced[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True  # the byte-level form of a space
-        self._forget()
-
-    def _forget(self) -> None:
-        self.heads = Words(self._encode, "")
-        self.tails = Words(self._encode, " ", self.heads)
+        self.parts: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+        self.chars = 0
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _encode(self, text: str) -> bytes:
-        return self._ids(text).tobytes()
-
-    def _learn(self, parts: set[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         """Entries for new parts, by one call for all of them: each part's first id, and no other, begins with a space."""
-        pieces = list(self.tails.pieces(parts))
-        ids = self._ids(" " + " ".join(pieces) if pieces else "")
+        if not new:
+            return
+        ids = self._ids(" " + " ".join(new))
         starts = np.flatnonzero(self.spaced[ids])
-        if len(starts) == len(pieces):
-            raw = ids.tobytes()
-            at = [*(4 * starts).tolist(), len(raw)]
-            for piece, lo, hi in zip(pieces, at, at[1:]):
-                self.tails.put(piece, raw[lo:hi])
+        if len(starts) != len(new):
+            raise ValueError("the vocabulary doesn't cut before spaces")
+        raw = ids.tobytes()
+        at = (4 * starts).tolist() + [len(raw)]
+        self.parts.update(zip(new, map(raw.__getitem__, map(slice, at, at[1:])), strict=True))
+        self.chars += sum(map(len, new))
+
+    def _head(self, head: str) -> bytes:
+        """Ids of what stands before the first space."""
+        if head not in self.heads:
+            self.heads[head] = self._ids(head).tobytes()
+            self.chars += len(head)
+        return self.heads[head]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.heads) + len(self.tails) > MEMO or self.heads.chars + self.tails.chars > 40 * MEMO:
-            self._forget()
-        get, out = self.tails.__getitem__, []
+        if len(self.heads) + len(self.parts) > MEMO or self.chars > 40 * MEMO:
+            self.parts, self.heads, self.chars = {}, {}, 0
         split = [text.split(" ") for text in texts]
-        self._learn(set().union(*split).difference(self.tails))
-        for text, rest in zip(texts, split, strict=True):
-            rest = iter(rest)
-            head = next(rest)
+        heads = [words.pop(0) for words in split]
+        known = [list(map(self.parts.get, words)) for words in split]
+        new = {part for words, ids in zip(split, known, strict=True) for part, x in zip(words, ids, strict=True) if x is None}
+        self._learn([part for part in new if part and not part[0].isspace()])
+        get, out = self.parts.__getitem__, []
+        for text, head, words, ids in zip(texts, heads, split, known, strict=True):
             try:
-                out.append(self.heads[head] + b"".join(map(get, rest)))
+                rest = b"".join([get(part) if x is None else x for part, x in zip(words, ids, strict=True)])
             except KeyError:  # a space before white space or at an end
-                out.append(self._encode(text))
+                out.append(self._ids(text).tobytes())
+            else:
+                out.append(self._head(head) + rest)
         return out
 
 
