@@ -29,7 +29,9 @@ from .bpe import slices
 from .store import drop, keep, tasks
 
 BLOCK_TOKENS = 262_144
-MEMO = 2_000_000
+MEMO = 1_000_000
+LEARN = 20_000  # parts a call of the library
+SLICE = 1 << 20  # characters a slice of texts
 NO_ID = -(2**63)
 
 
@@ -58,17 +60,17 @@ class LibraryEncoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _learn(self, new: list[str]) -> None:
-        """Entries for new parts, by one call for all of them: each part's first id, and no other, begins with a space."""
-        if not new:
-            return
-        ids = self._ids(" " + " ".join(new))
-        starts = np.flatnonzero(self.spaced[ids])
-        if len(starts) != len(new):
-            raise ValueError("the vocabulary doesn't cut before spaces")
-        raw = ids.tobytes()
-        at = (4 * starts).tolist() + [len(raw)]
-        self.parts.update(zip(new, map(raw.__getitem__, map(slice, at, at[1:])), strict=True))
-        self.chars += sum(map(len, new))
+        """Entries for new parts, many by one call: each part's first id, and no other, begins with a space."""
+        for lo in range(0, len(new), LEARN):
+            parts = new[lo : lo + LEARN]
+            ids = self._ids(" " + " ".join(parts))
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) != len(parts):
+                raise ValueError("the vocabulary doesn't cut before spaces")
+            raw = ids.tobytes()
+            at = (4 * starts).tolist() + [len(raw)]
+            self.parts.update(zip(parts, map(raw.__getitem__, map(slice, at, at[1:])), strict=True))
+            self.chars += sum(map(len, parts))
 
     def _head(self, head: str) -> bytes:
         """Ids of what stands before the first space."""
@@ -134,7 +136,7 @@ def _plain_blocks(df: DataFrame, tokenizer: str, end_id: int, vocabulary: int) -
 
         for batch in batches:
             doc_ids = batch.column(0)
-            for lo, texts in slices(batch, "text"):
+            for lo, texts in slices(batch, "text", SLICE):
                 for i, x in enumerate(encoder.encode_batch(texts)):
                     parts += (x, end)
                     ids.append(doc_ids[lo + i].as_py())
