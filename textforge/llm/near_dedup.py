@@ -7,8 +7,10 @@ Candidates come from two sources over distinct texts (equal texts are one, whate
   beyond any ball that can be emitted.  So each text also has VIEWS fingerprints, each a hash of the PICK shingles
   smallest in a permutation; texts as alike as 0.8 share one of them with a probability over 0.999.
 
-In each bucket every text is paired with the smallest one.  Pairs are verified by the Jaccard similarity of their whole
-shingle sets (as 32-bit hashes), and verified pairs make groups.  Texts of fewer than five words are one shingle; those without words are one group.
+Pairs are verified by the Jaccard similarity of their whole shingle sets (as 32-bit hashes), and verified pairs make groups.
+In each bucket every text meets the smallest one first.  Where a bucket's texts are of several groups after that, those of
+other groups meet the text with most verified links, and then all pairs of different groups that are left are verified,
+but those whose set sizes rule the similarity out.  Texts of fewer than five words are one shingle; those without words are one group.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from pyspark.sql import types as T
 
 from .bpe import slices
 from .components import components
-from .simhash import ball_links, shingle_hashes, simhash
-from .store import keep
+from .simhash import ball_buckets, shingle_hashes, simhash
+from .store import drop, keep
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -42,7 +44,7 @@ def view_fingerprints(hashes: np.ndarray) -> list[int]:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    schema = T.StructType([T.StructField("t", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("views", T.ArrayType(T.LongType())), T.StructField("shingles", T.BinaryType())])
+    schema = T.StructType([T.StructField("t", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("views", T.ArrayType(T.LongType())), T.StructField("shingles", T.BinaryType()), T.StructField("n", T.IntegerType())])
 
     def run(batches):
         for batch in batches:
@@ -51,9 +53,9 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 for text in texts:
                     every = shingle_hashes(text, WORDS)
                     hashes = np.unique(every)
-                    rows.append((simhash(every), view_fingerprints(hashes), np.unique(hashes.astype("<u4")).tobytes()))
+                    rows.append((simhash(every), view_fingerprints(hashes), np.unique(hashes.astype("<u4"))))
                 fp, views, sets = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array(fp, pa.int64()), pa.array(views, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["t", "fp", "views", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array(fp, pa.int64()), pa.array(views, pa.list_(pa.int64())), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32())], names=["t", "fp", "views", "shingles", "n"])
 
     return docs.mapInArrow(run, schema)
 
@@ -73,6 +75,63 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _members(sketches: DataFrame) -> DataFrame:
+    """view, key, t, n of the texts of each bucket of two or more: views, equal fingerprints (view -1), balls (view -2)."""
+    rows = sketches.select("t", "fp", "n")
+    views = sketches.select(F.posexplode("views").alias("view", "key"), "t", "n").union(rows.select(F.lit(-1), "fp", "t", "n"))
+    shared = views.groupBy("view", "key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("view", "key")
+    balls = ball_buckets(rows.select("fp").distinct()).join(rows, "fp").select(F.lit(-2).alias("view"), F.col("variant").alias("key"), "t", "n")
+    return views.join(shared, ["view", "key"]).select("view", "key", "t", "n").union(balls)
+
+
+def _groups(sketches: DataFrame) -> DataFrame:
+    """(t, root) of each text that verified pairs link to a smaller one."""
+    spark = sketches.sparkSession
+    sets = sketches.select("t", "shingles")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        distinct = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        both = distinct.join(sets.withColumnsRenamed({"t": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"t": "b", "shingles": "y"}), "b")
+        return keep(_verified(both.select("a", "b", "x", "y")), "verified")[0]
+
+    def still_open(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, str]:
+        """Members, with their roots, of the buckets whose texts are of several groups."""
+        rows = members.select("view", "key", "t", "n").join(roots, "t", "left").withColumn("root", F.coalesce("root", "t"))
+        several = rows.groupBy("view", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("view", "key")
+        return keep(rows.join(several, ["view", "key"]).select("view", "key", "t", "n", "root"), "open")
+
+    def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
+        """Roots after further links: components over roots, not over texts."""
+        of = lambda c: roots.select(F.col("t").alias(c), F.col("root").alias("r" + c))
+        ends = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        over = components(ends)[0].select(F.col("node"), F.col("root").alias("top"))
+        old = roots.join(over, roots["root"] == over["node"], "left").select("t", F.coalesce("top", "root").alias("root"))
+        return keep(old.union(over.join(roots.select(F.col("t").alias("node")), "node", "left_anti").select("node", "top")), "roots")[0]
+
+    members, members_path = keep(_members(sketches), "buckets")
+    least = members.groupBy("view", "key").agg(F.min("t").alias("a"))
+    edges = verify(members.join(least, ["view", "key"]).select("a", F.col("t").alias("b")))
+    roots = components(edges)[0].withColumnRenamed("node", "t")
+    left, path = still_open(members, roots)
+    drop(spark, members_path)
+    if left.isEmpty():
+        return roots
+    # The text with most links is the likely middle of a star, so few groups are left for the pairs of the last step.
+    links = edges.select(F.explode(F.array("a", "b")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("links"))
+    best = F.struct(F.coalesce("links", F.lit(0)).alias("links"), F.col("t").alias("t"), F.col("root").alias("root"), F.col("n").alias("n"))
+    middle = left.join(links, "t", "left").groupBy("view", "key").agg(F.max(best).alias("m"))
+    alike = lambda x, y: F.least(x, y) >= SIMILARITY * F.greatest(x, y)
+    met = left.join(middle, ["view", "key"]).where((F.col("root") != F.col("m.root")) & alike(F.col("n"), F.col("m.n")))
+    roots = merged(roots, verify(met.select(F.col("m.t").alias("a"), F.col("t").alias("b"))))
+    left, last_path = still_open(left, roots)
+    drop(spark, path)
+    other = left.select("view", "key", F.col("t").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    met = left.join(other, ["view", "key"]).where((F.col("t") < F.col("b")) & (F.col("root") != F.col("rb")) & alike(F.col("n"), F.col("nb")))
+    roots = merged(roots, verify(met.select(F.col("t").alias("a"), "b")))
+    drop(spark, last_path)
+    return roots
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, text hash t, component_id (smallest doc_id of the group) of each distinct (doc_id, text)."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__tf_text")).withColumn("t", F.xxhash64("__tf_text"))
@@ -80,18 +139,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     # One row stands for each distinct text: the one with the group's smallest id.
     alone = rows.join(ids, "t").where(F.col("doc_id").eqNullSafe(F.col("doc"))).select("t", "__tf_text").dropDuplicates(["t"])
     sketches, _ = keep(_sketches(alone), "sketches")
-    balls = ball_links(sketches.select("fp").distinct())
-    reps = sketches.groupBy("fp").agg(F.min("t").alias("r"))
-    by_fp = sketches.select("t", "fp").join(reps, "fp").where("t <> r").select(F.col("r").alias("a"), F.col("t").alias("b"))
-    linked = balls.join(reps.select(F.col("fp").alias("a"), F.col("r").alias("ra")), "a").join(reps.select(F.col("fp").alias("b"), F.col("r").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    views = sketches.select("t", F.posexplode("views").alias("view", "key"))
-    least = views.groupBy("view", "key").agg(F.min("t").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = views.join(least, ["view", "key"]).where("a <> t").select("a", F.col("t").alias("b"))
-    pairs = by_fp.union(linked).union(met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    sets = sketches.select("t", "shingles")
-    both = pairs.join(sets.select(F.col("t").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("t").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    nodes, _ = components(_verified(both))
-    linked = ids.join(nodes.withColumnRenamed("node", "t"), "t", "left").select("t", F.coalesce("root", "t").alias("root"), "doc")
+    groups = _groups(sketches)
+    linked = ids.join(groups, "t", "left").select("t", F.coalesce("root", "t").alias("root"), "doc")
     least = linked.groupBy("root").agg(F.min("doc").alias("component_id"))
     return linked.join(least, "root").select("t", "component_id")
 

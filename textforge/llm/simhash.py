@@ -75,6 +75,13 @@ def ball_links(fps: DataFrame) -> DataFrame:
     return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
+def ball_buckets(fps: DataFrame) -> DataFrame:
+    """(variant, fp) where two or more, at most 65, of the distinct fingerprints ``fps.fp`` meet: all pairs of RADIUS bits share one."""
+    flips = [0] + [1 << i for i in range(63)] + [-(2**63)]
+    variants = fps.select("fp", F.explode(F.array(*[F.lit(x).cast("long") for x in flips])).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
+    return variants.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("variant"))).where("n > 1").select("variant", "fp")
+
+
 def groups(docs: DataFrame, k: int = 3) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that links reach from it."""
     rows, _ = keep(fingerprints(docs, k), "fingerprints")
