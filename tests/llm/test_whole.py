@@ -2,7 +2,9 @@
 
 import random
 
-from textforge.llm import near_dedup
+import pytest
+
+from textforge.llm import line_dedup, near_dedup
 from textforge.llm.simhash import shingles
 
 
@@ -25,3 +27,40 @@ def test_stars_of_near_copies(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted(x.doc_id for x in near_dedup.keep_one(df).collect())
     assert kept == [star * 10 for star in range(stars)]
+
+
+def prose(r, n):
+    return " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8))) for _ in range(n))
+
+
+def sentences(r, n, least, most):
+    return " ".join(prose(r, r.randint(least, most)).capitalize() + "." for _ in range(n))
+
+
+@pytest.mark.parametrize(("words", "least", "most"), [(55, 12, 20), (80, 8, 15), (200, 15, 25)])
+def test_whole_passages_are_cut(spark, words, least, most):
+    """Every passage of over 50 words goes whole, though no chunk may end at the same places in both copies."""
+    r = random.Random(words)
+    rows, passages = [], []
+    for i in range(60):
+        passage = " ".join(sentences(r, 40, least, most).split()[3 : 3 + words])
+        passages.append(passage)
+        around = lambda: sentences(r, 5, least, most) + " " + prose(r, 4)
+        rows += [(i, f"{around()} {passage} {around()}"), (1000 + i, f"{around()} {passage} {around()}")]
+    got = {x.doc_id: x for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, passage in enumerate(passages):
+        assert got[i].removed_chars == 0 and passage in got[i].text
+        assert len(passage) <= got[1000 + i].removed_chars <= len(passage) + 2
+
+
+def test_passages_whose_anchors_stand_elsewhere(spark):
+    """Each run of 25 words of the passage stands in lower documents by itself."""
+    r = random.Random(9)
+    rows = []
+    words = prose(r, 56).split()
+    rows = [(k, f"{prose(r, 30)} {' '.join(words[k : k + 25])} {prose(r, 30)}") for k in range(0, 32)]
+    rows += [(100 + k, f"{prose(r, 40)} {' '.join(words)} {prose(r, 40)}") for k in range(4)]
+    got = {x.doc_id: x for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n = len(" ".join(words))
+    assert [n <= got[100 + k].removed_chars <= n + 2 for k in range(4)] == [False, True, True, True]
+    assert all(got[k].removed_chars == 0 for k in range(32)) and got[100].removed_chars == 0

@@ -5,10 +5,14 @@ over the last two lines' hashes chooses where a chunk ends, so boundaries depend
 after insertions; a line of LONG words or more is a chunk of its own.  Chunks of at least two lines and LEAST words, and
 long lines, take part.
 
-1. Hashes of all chunks are grouped; a chunk that occurs more than once is kept in its first place (lowest doc_id, then
-   earliest) and compared there, byte for byte, with each other occurrence.
-2. Where the text before and after an occurrence equals that of the first place, the cut is widened word by word (up
-   to CONTEXT characters a side, at the ends of runs of repeated chunks), so that passages go as a whole.
+So that passages of LONG words are found wherever chunks end, anchors take part too: of the runs of GRAM words in each
+window of LONG words the one of the smallest hash, which equal windows choose alike.
+
+1. Hashes of all chunks and anchors are grouped; each occurrence but the first (lowest doc_id, then earliest) is compared
+   there, byte for byte, both texts at hand, and widened on both sides as far as they are equal.  A chunk is cut as
+   it is widened, an anchor if LONG words are equal.
+2. An anchor that isn't cut may still be in a passage that stands elsewhere than in the anchor's first place: the windows that
+   chose it are hashed whole and compared in the same way.
 3. Spans of a document are merged and cut from its text; ``n_chars`` follows.
 
 Only a chunk that stands in the text of a lower (doc_id, place) is cut, so one copy of it always stays.  Chunks of one hot
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,7 +39,7 @@ WORDS = re.compile(r"\S+")
 LEAST = 12
 LONG = 50
 MOST_LINES = 16
-CONTEXT = 256
+GRAM = 12
 LAST_ID = 2**63 - 1
 
 
@@ -88,22 +93,88 @@ def chunks(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+SPACE = np.zeros(0x3002, dtype=bool)
+SPACE[[c for c in range(0x3001) if chr(c).isspace()]] = True
+BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
+_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def _power(n: int) -> list[np.ndarray]:
+    """The first n powers of BASE and of its inverse modulo 2^64."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((BASE, INVERSE)):
+            steps = np.full(2 * n, base, dtype=np.uint64)
+            steps[0] = 1
+            _powers[i] = np.multiply.accumulate(steps)
+    return _powers
+
+
+class Runs:
+    """Words of a text and hashes of its runs of words, white space between them included."""
+
+    def __init__(self, text: str):
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        edges = np.flatnonzero(np.diff(~SPACE[np.minimum(codes, 0x3001)], prepend=False, append=False))
+        self.starts, self.ends = edges[::2], edges[1::2]
+        power, self.inverse = _power(len(codes) + 1)
+        self.sums = np.zeros(len(codes) + 1, dtype=np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[: len(codes)], out=self.sums[1:])
+
+    def hashes(self, first: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the runs of n words from each of the words ``first``."""
+        a, b = self.starts[first], self.ends[first + (n - 1)]
+        h = (self.sums[b] - self.sums[a]) * self.inverse[a]
+        for _ in range(2):
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(32))
+
+    def chosen(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each window of LONG words: the first word of its anchor; and the hashes of all runs of GRAM words."""
+        if len(self.starts) < LONG:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        grams = self.hashes(np.arange(len(self.starts) - GRAM + 1), GRAM)
+        windows = np.lib.stride_tricks.sliding_window_view(grams, LONG - GRAM + 1)
+        return windows.argmin(axis=1) + np.arange(len(windows)), grams
+
+
+def anchors(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, hash) of the anchors."""
+    runs = Runs(text)
+    chosen, grams = runs.chosen()
+    at = chosen[np.flatnonzero(np.diff(chosen, prepend=-1))]
+    return list(zip(runs.starts[at].tolist(), runs.ends[at + (GRAM - 1)].tolist() if len(at) else [], grams[at].view(np.int64).tolist(), strict=True))
+
+
+def windows(text: str, of: set[int]) -> list[tuple[int, int, int]]:
+    """(start, end, hash) of the windows of LONG words whose anchor starts at one of the characters ``of``."""
+    runs = Runs(text)
+    chosen, _ = runs.chosen()
+    first = np.flatnonzero(np.isin(runs.starts[chosen], list(of))) if len(chosen) else chosen
+    if not len(first):
+        return []
+    return list(zip(runs.starts[first].tolist(), runs.ends[first + (LONG - 1)].tolist(), runs.hashes(first, LONG).view(np.int64).tolist(), strict=True))
+
+
 def _keys(docs: DataFrame) -> DataFrame:
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
     return docs.withColumn("__tf_d", d).withColumn("__tf_h", F.xxhash64(F.col("text").cast("string")))
 
 
 def _hashes(docs: DataFrame) -> DataFrame:
-    """A row for each chunk: document, span, two hashes."""
+    """A row for each chunk (document, span, two hashes) and each anchor (its second hash is 0)."""
 
     def run(batches):
         for batch in batches:
             ids, own, texts = (c.to_pylist() for c in batch.columns)
             columns: list[list] = [[] for _ in range(6)]
             for d, h, text in zip(ids, own, texts, strict=True):
+                rows = []
                 for a, b, body in chunks(text):
                     raw = body.encode()
-                    for c, v in zip(columns, (d, h, a, b, xxhash.xxh64_intdigest(raw, 1) - 2**63, xxhash.xxh64_intdigest(raw, 2) - 2**63), strict=True):
+                    rows.append((d, h, a, b, xxhash.xxh64_intdigest(raw, 1) - 2**63, xxhash.xxh64_intdigest(raw, 2) - 2**63))
+                rows += [(d, h, a, b, c1, 0) for a, b, c1 in anchors(text)]
+                for row in rows:
+                    for c, v in zip(columns, row, strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()], strict=True)], names=["d", "h", "a", "b", "c1", "c2"])
 
@@ -111,68 +182,88 @@ def _hashes(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "d long, h long, a int, b int, c1 long, c2 long")
 
 
-def _cut_out(rows: DataFrame, text: str) -> DataFrame:
-    """A row for each repeated chunk of each document, with its canonical text; ends of runs carry what lies beside them."""
-
-    def run(batches):
-        for batch in batches:
-            out: list[tuple] = []
-            names = batch.schema.names
-            texts, found = batch.column(names.index(text)), batch.column(names.index("__tf_found"))
-            ids, own = batch.column(names.index("__tf_d")), batch.column(names.index("__tf_h"))
-            for i in range(batch.num_rows):
-                t, d, h = texts[i].as_py(), ids[i].as_py(), own[i].as_py()
-                spans = sorted((s["a"], s["b"], s["c1"], s["c2"], s["first"]) for s in found[i].as_py())
-                for k, (a, b, c1, c2, first) in enumerate(spans):
-                    body = "\n".join(t[x + a : y + a].strip() for x, y in lines(t[a:b]))
-                    mine = first == d
-                    left = t[max(0, a - CONTEXT) : a] if mine or not k or spans[k - 1][1] != a or spans[k - 1][4] != first else ""
-                    right = t[b : b + CONTEXT] if mine or k + 1 == len(spans) or spans[k + 1][0] != b or spans[k + 1][4] != first else ""
-                    out.append((d, h, a, b, c1, c2, first, left, body, right))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 10
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["d", "h", "a", "b", "c1", "c2", "first", "left", "body", "right"])
-
-    return rows.mapInArrow(run, "d long, h long, a int, b int, c1 long, c2 long, first long, left string, body string, right string")
-
-
-def common_end(x: str, y: str) -> int:
-    """Characters of the longest common ending that starts at a word."""
-    n, most = 0, min(len(x), len(y))
-    while n < most and x[-1 - n] == y[-1 - n]:
-        n += 1
-    if n == len(x) < CONTEXT or (n < len(x) and x[-n - 1].isspace()):
-        return n
-    while n and not x[-n].isspace():
-        n -= 1
+def _same(equal, most: int) -> int:
+    """The largest n up to ``most`` with equal(0, n), where equal(i, j) compares characters i to j: steps double, then halve."""
+    n, step = 0, 64
+    while n < most and equal(n, min(n + step, most)):
+        n, step = min(n + step, most), 2 * step
+    end = min(n + step, most)
+    while end - n > 1:
+        half = (n + end) // 2
+        if equal(n, half):
+            n = half
+        else:
+            end = half
     return n
 
 
-def common_start(x: str, y: str) -> int:
-    """Characters of the longest common beginning that ends with a word."""
-    n, most = 0, min(len(x), len(y))
-    while n < most and x[n] == y[n]:
-        n += 1
-    if n == len(x) < CONTEXT or (n < len(x) and x[n].isspace()):
-        return n
-    while n and not x[n - 1].isspace():
-        n -= 1
-    return n
+def widened(x: str, a: int, b: int, y: str, a2: int, b2: int) -> tuple[int, int]:
+    """The span a, b of x, equal to a2, b2 of y, as far as whole words beside it are equal too."""
+    n = _same(lambda i, j: x[a - j : a - i] == y[a2 - j : a2 - i], min(a, a2))
+    if n < a and not x[a - n - 1].isspace():
+        while n and not x[a - n].isspace():
+            n -= 1
+    m = _same(lambda i, j: x[b + i : b + j] == y[b2 + i : b2 + j], min(len(x) - b, len(y) - b2))
+    if b + m < len(x) and not x[b + m].isspace():
+        while m and not x[b + m - 1].isspace():
+            m -= 1
+    return a - n, b + m
+
+
+def _canonical(text: str, a: int, b: int) -> str:
+    return "\n".join(text[a + i : a + j].strip() for i, j in lines(text[a:b]))
+
+
+def compare(x: str, y: str, places: list[tuple[int, int, int, int, bool]]) -> tuple[list[tuple[int, int]], set[int]]:
+    """Spans to cut from x, and starts of anchors that aren't in one, for places (a, b, a2, b2, is a chunk) of x and y."""
+    cut: set[tuple[int, int]] = set()
+    alone: set[int] = set()
+    last: dict[int, tuple[int, int, bool]] = {}  # by the distance of the two places: the last equal span, and if it's long
+    for a, b, a2, b2, chunk in sorted(places):
+        seen = last.get(a - a2)
+        if not seen or a < seen[0] or b > seen[1] or b - a != b2 - a2:
+            if (_canonical(x, a, b) != _canonical(y, a2, b2)) if chunk else (x[a:b] != y[a2:b2]):
+                if not chunk:
+                    alone.add(a)
+                continue
+            lo, hi = widened(x, a, b, y, a2, b2)
+            seen = last[a - a2] = lo, hi, len(WORDS.findall(x, lo, hi)) >= LONG
+        if chunk or seen[2]:
+            cut.add(seen[:2])
+        else:
+            alone.add(a)
+    return sorted(cut), alone
 
 
-def _spans(pairs: DataFrame) -> DataFrame:
-    """Spans to cut: those whose bytes equal the first place's, widened."""
+def _spans(found: DataFrame, texts: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """d, h, a, b of the spans to cut (c is null) and of the windows, of hash c, whose anchors aren't in one."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for d, h, a, b, left, body, right, left2, body2, right2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if body == body2:
-                    out.append((d, h, a - common_end(left, left2), b + common_start(right, right2)))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], names=["d", "h", "a", "b"])
-
-    return pairs.mapInArrow(run, "d long, h long, a int, b int")
+            for d, h, x, y, places in zip(*(batch.column(i) for i in range(5)), strict=True):
+                d, h, x = d.as_py(), h.as_py(), x.as_py()
+                cut, alone = compare(x, y.as_py(), list({(p["a"], p["b"], p["a2"], p["b2"], p["chunk"]) for p in places.as_py()}))
+                out += [(d, h, a, b, None) for a, b in cut]
+                if alone:
+                    out += [(d, h, a, b, c) for a, b, c in windows(x, alone)]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()], strict=True)], names=["d", "h", "a", "b", "c"])
+
+    place = F.struct("d", "h", "a", "b")
+    first = found.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("f")).where("n > 1").select("c1", "c2", "f")
+    # As a table of its own it is shuffled for the join, and Spark can split a hot chunk's occurrences over tasks.
+    first, first_path = keep(first, "first-places")
+    pairs = found.join(first, ["c1", "c2"]).where(~((F.col("d") == F.col("f.d")) & (F.col("h") == F.col("f.h")) & (F.col("a") == F.col("f.a"))))
+    at = F.struct("a", "b", F.col("f.a").alias("a2"), F.col("f.b").alias("b2"), (F.col("c2") != 0).alias("chunk"))
+    pairs, pairs_path = keep(pairs.groupBy("d", "h", F.col("f.d").alias("d2"), F.col("f.h").alias("h2")).agg(F.collect_list(at).alias("places")), "pairs")
+    drop(found.sparkSession, first_path)
+    own = texts.select(F.col("__tf_d").alias("d"), F.col("__tf_h").alias("h"), F.col("text").alias("x"))
+    other = texts.select(F.col("__tf_d").alias("d2"), F.col("__tf_h").alias("h2"), F.col("text").alias("y"))
+    both = pairs.join(own, ["d", "h"]).join(other, ["d2", "h2"]).select("d", "h", "x", "y", "places")
+    spans = keep(both.mapInArrow(run, "d long, h long, a int, b int, c long"), name)
+    drop(found.sparkSession, pairs_path)
+    return spans
 
 
 def _kept(spans: DataFrame) -> DataFrame:
@@ -203,17 +294,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     columns = [c for c in docs.columns if c != "removed_chars"]
     keyed = _keys(docs.select(*columns))
     found, found_path = keep(_hashes(keyed), "chunks")
-    repeated = found.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first")).where("n > 1")
-    marked = found.join(repeated.select("c1", "c2", "first"), ["c1", "c2"])
-    by_doc = marked.groupBy("d", "h").agg(F.collect_list(F.struct("a", "b", "c1", "c2", "first")).alias("__tf_found")).select(F.col("d").alias("__tf_d"), F.col("h").alias("__tf_h"), "__tf_found")
-    places, _ = keep(_cut_out(keyed.join(by_doc, ["__tf_d", "__tf_h"]), "text"), "repeated")
+    texts = keyed.where("text IS NOT NULL").select("__tf_d", "__tf_h", F.col("text").cast("string").alias("text")).dropDuplicates(["__tf_d", "__tf_h"])
+    spans, _ = _spans(found, texts, "spans")
     drop(docs.sparkSession, found_path)
-    one = F.struct("h", "a")
-    first = places.where("d = first").groupBy("c1", "c2").agg(F.min(one).alias("at"), F.min_by(F.struct("left", "body", "right"), one).alias("of"))
-    # As a table of its own it is shuffled for the join, and Spark can split a hot chunk's occurrences over tasks.
-    first, _ = keep(first, "first-places")
-    pairs = places.alias("p").join(first.alias("f"), ["c1", "c2"]).where("NOT (p.d = p.first AND p.h = f.at.h AND p.a = f.at.a)")
-    spans = _spans(pairs.select("p.d", "p.h", "p.a", "p.b", "p.left", "p.body", "p.right", F.col("f.of.left").alias("left2"), F.col("f.of.body").alias("body2"), F.col("f.of.right").alias("right2")))
+    left = spans.where("c IS NOT NULL").select("d", "h", "a", "b", F.col("c").alias("c1"), F.lit(0).cast("long").alias("c2"))
+    if not left.isEmpty():
+        more, _ = _spans(left, texts, "more-spans")
+        spans = spans.union(more)
+    spans = spans.where("c IS NULL")
     joined = keyed.join(_kept(spans), ["__tf_d", "__tf_h"], "left")
     text = F.expr("CASE WHEN __tf_kept IS NULL THEN text ELSE array_join(transform(__tf_kept, s -> substring(text, s.at, s.n)), '') END")
     out = joined.withColumn("text", text)
