@@ -35,7 +35,6 @@ from pyspark.sql import types as T
 from .store import drop, keep
 
 LINE_END = re.compile(r"\n|[.!?](?= )")
-WORDS = re.compile(r"\S+")
 LEAST = 12
 LONG = 50
 MOST_LINES = 16
@@ -114,7 +113,9 @@ class Runs:
 
     def __init__(self, text: str):
         codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-        edges = np.flatnonzero(np.diff(~SPACE[np.minimum(codes, 0x3001)], prepend=False, append=False))
+        inside = np.zeros(len(codes) + 2, dtype=bool)
+        np.logical_not(SPACE[np.minimum(codes, 0x3001)], out=inside[1:-1])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
         self.starts, self.ends = edges[::2], edges[1::2]
         power, self.inverse = _power(len(codes) + 1)
         self.sums = np.zeros(len(codes) + 1, dtype=np.uint64)
@@ -128,30 +129,42 @@ class Runs:
             h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         return h ^ (h >> np.uint64(32))
 
-    def chosen(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each window of LONG words: the first word of its anchor; and the hashes of all runs of GRAM words."""
-        if len(self.starts) < LONG:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-        grams = self.hashes(np.arange(len(self.starts) - GRAM + 1), GRAM)
-        windows = np.lib.stride_tricks.sliding_window_view(grams, LONG - GRAM + 1)
-        return windows.argmin(axis=1) + np.arange(len(windows)), grams
+    def grams(self) -> np.ndarray:
+        """Hashes of all runs of GRAM words; none for a text without a window of LONG words."""
+        n = len(self.starts)
+        return self.hashes(np.arange(n - GRAM + 1), GRAM) if n >= LONG else np.zeros(0, dtype=np.uint64)
+
+
+def _sliding(x: np.ndarray, n: int, least) -> np.ndarray:
+    """The minimum or maximum, ``least``, of each n values in a row."""
+    size = 1
+    while 2 * size <= n:
+        x, size = least(x[:-size], x[size:]), 2 * size
+    return least(x[: len(x) - (n - size)], x[n - size :]) if size < n else x
 
 
 def anchors(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, hash) of the anchors."""
+    """(start, end, hash) of the anchors: runs of GRAM words that are the smallest of some window."""
     runs = Runs(text)
-    chosen, grams = runs.chosen()
-    at = chosen[np.flatnonzero(np.diff(chosen, prepend=-1))]
-    return list(zip(runs.starts[at].tolist(), runs.ends[at + (GRAM - 1)].tolist() if len(at) else [], grams[at].view(np.int64).tolist(), strict=True))
+    grams = runs.grams()
+    if not len(grams):
+        return []
+    n = LONG - GRAM + 1
+    ends = np.zeros(n - 1, dtype=np.uint64)
+    least = np.concatenate([ends, _sliding(grams, n, np.minimum), ends])
+    at = np.flatnonzero(_sliding(least, n, np.maximum) == grams)
+    return list(zip(runs.starts[at].tolist(), runs.ends[at + (GRAM - 1)].tolist(), grams[at].view(np.int64).tolist(), strict=True))
 
 
 def windows(text: str, of: set[int]) -> list[tuple[int, int, int]]:
     """(start, end, hash) of the windows of LONG words whose anchor starts at one of the characters ``of``."""
     runs = Runs(text)
-    chosen, _ = runs.chosen()
-    first = np.flatnonzero(np.isin(runs.starts[chosen], list(of))) if len(chosen) else chosen
-    if not len(first):
+    grams = runs.grams()
+    if not len(grams):
         return []
+    n = LONG - GRAM + 1
+    least = np.lib.stride_tricks.sliding_window_view(grams, n).argmin(axis=1) + np.arange(len(grams) - n + 1)
+    first = np.flatnonzero(np.isin(runs.starts[least], list(of)))
     return list(zip(runs.starts[first].tolist(), runs.ends[first + (LONG - 1)].tolist(), runs.hashes(first, LONG).view(np.int64).tolist(), strict=True))
 
 
@@ -222,12 +235,12 @@ def compare(x: str, y: str, places: list[tuple[int, int, int, int, bool]]) -> tu
     for a, b, a2, b2, chunk in sorted(places):
         seen = last.get(a - a2)
         if not seen or a < seen[0] or b > seen[1] or b - a != b2 - a2:
-            if (_canonical(x, a, b) != _canonical(y, a2, b2)) if chunk else (x[a:b] != y[a2:b2]):
+            if x[a:b] != y[a2:b2] and not (chunk and _canonical(x, a, b) == _canonical(y, a2, b2)):
                 if not chunk:
                     alone.add(a)
                 continue
             lo, hi = widened(x, a, b, y, a2, b2)
-            seen = last[a - a2] = lo, hi, len(WORDS.findall(x, lo, hi)) >= LONG
+            seen = last[a - a2] = lo, hi, len(x[lo:hi].split(None, LONG - 1)) == LONG
         if chunk or seen[2]:
             cut.add(seen[:2])
         else:
