@@ -113,7 +113,6 @@ def test_token_files(docs, none):
     files, lengths, _ = token_files.write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"))
     rows = token_files.read_token_files(files, lengths).orderBy("start").collect()
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     start = 0
     for r, (i, text) in zip(rows, [(None, "null id"), *enumerate(TEXTS)], strict=True):
         ids = t.encode(text or "", add_special_tokens=False).ids + [2]
@@ -124,6 +123,22 @@ def test_token_files(docs, none):
     assert token_files.read_token_files(files, lengths).count() == 0
 
 
+def test_token_files_of_special_strings_and_null_ids(spark):
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>b c", None, "word, word. word", "word, word. word"]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    files, lengths, _ = token_files.write_token_files(docs, path)
+    rows = token_files.read_token_files(files, lengths).orderBy("start").collect()
+    t = Tokenizer.from_file(path)
+    exact = [np.array(t.encode(x or "", add_special_tokens=False).ids + [2], "<u4").tobytes() for x in texts]
+    assert sorted(bytes(r.token_ids) for r in rows) == sorted(exact)
+    assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows)])[:-1].tolist()
+    with pytest.raises(ValueError):
+        token_files.write_token_files(docs, path, end_id=1 << 16)
+    with pytest.raises(Exception, match="an id of 300 or more"):
+        token_files.write_token_files(docs, path, vocabulary=300)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=700))
 def test_png_round_trip(text):

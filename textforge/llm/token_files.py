@@ -8,19 +8,22 @@
 4. Readers decode each block on its own.  A document's start is its block's start plus what precedes it in the block;
    the starts of blocks come from the blocks' token counts: a running sum within each part, and one over the parts.
 
-The file format is a binary column of a Parquet table, so it works on any store that Spark writes to.  Null texts are
-empty: they have the end id only.  Rows of one doc_id keep an order by text; a null doc_id comes first and is
-stored as the lowest 64-bit integer.  Other columns are ignored.
+The file format is a binary column of a Parquet table, so it works on any store that Spark writes to.  Null and empty texts
+have the end id only; very long ones are a block of their own.  Rows of one doc_id are in an order of their texts' hashes, equal
+rows side by side; a null doc_id comes first and is stored as the lowest 64-bit integer.  An empty table gives no block
+and no row.  Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,9 +32,12 @@ from .bpe import slices
 from .store import drop, keep, tasks
 
 BLOCK_TOKENS = 262_144
-MEMO = 1_000_000
+MEMO, COST = 24_000_000, 64
+ENDS = 10_000
 LEARN = 20_000  # parts a call of the library
-SLICE = 1 << 20  # characters a slice of texts
+SLICE = 1 << 21  # characters a slice of texts
+#: Letters of any version of Unicode, then punctuation; the apostrophe may begin a contraction.
+ENDED = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]+)")
 NO_ID = -(2**63)
 
 
@@ -39,7 +45,12 @@ class LibraryEncoder:
     """The tokenizers library, asked once for each distinct part of texts between single spaces (bounded memo).
 
     The byte-level pattern never joins what a space begins to what precedes it, so parts can be encoded in any company.
-    Texts with a part that is empty or begins with white space go to the library whole.
+    Nor does it join plain letters to punctuation behind them: of a part like ``word,`` the library sees the two ends only
+    once each.  Texts with a part that is empty or begins with white space, and texts that hold one of the tokenizer's
+    added tokens (``<|endoftext|>`` and the like), go to the library whole.
+
+    The memo has two halves of at most MEMO characters each, COST counted for each entry: when the younger is full it
+    becomes the older one, whose entries are forgotten unless they are met again.
     """
 
     def __init__(self, path: str):
@@ -47,55 +58,106 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenizer.model._resize_cache(0)  # each part is new to the library
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.spaced[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True  # the byte-level form of a space
-        self.parts: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
         self.chars = 0
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, entries: dict[str, bytes]) -> None:
+        self.chars += sum(map(len, entries)) + COST * len(entries)
+        self.young.update(entries)
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, parts: list[str]) -> None:
         """Entries for new parts, many by one call: each part's first id, and no other, begins with a space."""
-        for lo in range(0, len(new), LEARN):
-            parts = new[lo : lo + LEARN]
-            ids = self._ids(" " + " ".join(parts))
-            starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) != len(parts):
+        for lo in range(0, len(parts), LEARN):
+            some = parts[lo : lo + LEARN]
+            raw = self._ids([" " + " ".join(some)])[0]
+            starts = np.flatnonzero(self.spaced[np.frombuffer(raw, "<u4")])
+            if len(starts) != len(some):
                 raise ValueError("the vocabulary doesn't cut before spaces")
-            raw = ids.tobytes()
             at = (4 * starts).tolist() + [len(raw)]
-            self.parts.update(zip(parts, map(raw.__getitem__, map(slice, at, at[1:])), strict=True))
-            self.chars += sum(map(len, parts))
-
-    def _head(self, head: str) -> bytes:
-        """Ids of what stands before the first space."""
-        if head not in self.heads:
-            self.heads[head] = self._ids(head).tobytes()
-            self.chars += len(head)
-        return self.heads[head]
+            self._keep(dict(zip(some, map(raw.__getitem__, map(slice, at, at[1:])), strict=True)))
+
+    def _end(self, end: str) -> bytes:
+        if end not in self.ends:
+            if len(self.ends) > ENDS:
+                self.ends = {}
+            self.ends[end] = self._ids([end])[0]
+        return self.ends[end]
+
+    def _know(self, parts: list[str]) -> tuple[list[bytes], list[int]]:
+        """Ids of distinct parts, each with a space before it, and which ones can't be encoded alone."""
+        if self.chars > MEMO:
+            self.old, self.young, self.chars = self.young, {}, 0
+        found = list(map(self.young.get, parts))
+        missing = [i for i, x in enumerate(found) if x is None]
+        again, composed, new, alone = {}, [], {}, []
+        for i in missing:
+            part = parts[i]
+            x = self.old.get(part)
+            if x is not None:
+                again[part] = found[i] = x
+                continue
+            m = ENDED.fullmatch(part)
+            if m:
+                composed.append((i, m[1], m[2]))
+                part = m[1]
+                if part not in self.young and part not in new:
+                    x = self.old.get(part)
+                    if x is not None:
+                        again[part] = x
+                    else:
+                        new[part] = -1
+            elif part and not part[0].isspace():
+                new[part] = i
+            else:
+                found[i] = b""
+                alone.append(i)
+        self._keep(again)
+        self._learn(list(new))
+        for part, i in new.items():
+            if i >= 0:
+                found[i] = self.young[part]
+        whole = {}
+        for i, letters, end in composed:
+            whole[parts[i]] = found[i] = self.young[letters] + self._end(end)
+        self._keep(whole)
+        return found, alone
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.heads) + len(self.parts) > MEMO or self.chars > 40 * MEMO:
-            self.parts, self.heads, self.chars = {}, {}, 0
-        split = [text.split(" ") for text in texts]
-        heads = [words.pop(0) for words in split]
-        known = [list(map(self.parts.get, words)) for words in split]
-        new = {part for words, ids in zip(split, known, strict=True) for part, x in zip(words, ids, strict=True) if x is None}
-        self._learn([part for part in new if part and not part[0].isspace()])
-        get, out = self.parts.__getitem__, []
-        for text, head, words, ids in zip(texts, heads, split, known, strict=True):
-            try:
-                rest = b"".join([get(part) if x is None else x for part, x in zip(words, ids, strict=True)])
-            except KeyError:  # a space before white space or at an end
-                out.append(self._ids(text).tobytes())
-            else:
-                out.append(self._head(head) + rest)
-        return out
+        if not texts:
+            return []
+        words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        first = words.offsets.to_numpy()
+        coded = words.flatten().dictionary_encode()
+        index, parts = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids, lone = self._know(parts)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        alone = np.zeros(len(parts), dtype=bool)
+        alone[lone] = True
+        # Gather the ids of all words; heads, which have no space before them, come from the library.
+        starts = np.cumsum(size) - size
+        per = size[index]
+        per[first[:-1]] = 0
+        ends = np.cumsum(per)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        every = flat[np.repeat(starts[index] - (ends - per), per) + np.arange(int(ends[-1]))].tobytes()
+        bad = alone[index]
+        bad[first[:-1]] = False
+        bad = np.cumsum(np.append(0, bad))
+        bad = (bad[first[1:]] > bad[first[:-1]]).tolist()
+        whole = [b or any(a in t for a in self.added) for t, b in zip(texts, bad, strict=True)]
+        heads = self._ids([t if w else t.partition(" ")[0] for t, w in zip(texts, whole, strict=True)])
+        cut = (4 * np.append(0, ends)[first]).tolist()
+        return [h if w else h + every[a:b] for h, w, a, b in zip(heads, whole, cut[:-1], cut[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -105,7 +167,9 @@ def library(path: str) -> LibraryEncoder:
 
 def _plain_blocks(df: DataFrame, tokenizer: str, end_id: int, vocabulary: int) -> DataFrame:
     rows = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange(tasks(df.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one doc_id, null above all, spread over tasks by their texts' hashes.
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    rows = rows.repartitionByRange(tasks(df.sparkSession), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
 
     def run(batches):
         from pyspark import TaskContext
@@ -119,7 +183,10 @@ def _plain_blocks(df: DataFrame, tokenizer: str, end_id: int, vocabulary: int) -
         counts = np.zeros(vocabulary, dtype="<i8")
 
         def out(last: bool = False):
-            tokens = np.frombuffer(b"".join(parts), "<u4").astype("<u2")
+            wide = np.frombuffer(b"".join(parts), "<u4")
+            if int(wide.max()) >= vocabulary:
+                raise ValueError(f"an id of {vocabulary} or more")
+            tokens = wide.astype("<u2")
             counts[:] += np.bincount(tokens, minlength=vocabulary)
             return pa.RecordBatch.from_arrays(
                 [
@@ -172,7 +239,12 @@ def _counts(blocks: DataFrame, vocabulary: int) -> np.ndarray:
 
 
 def write_token_files(df: DataFrame, tokenizer: str, end_id: int = 2, vocabulary: int = 65_536) -> tuple[DataFrame, np.ndarray, str]:
-    """Write documents' ids; returns the table of blocks (part, block, n_tokens, data), code lengths and its path."""
+    """Write documents' ids; returns the table of blocks (part, block, n_tokens, data), code lengths and its path.
+
+    Ids are below ``vocabulary``, at most 65,536: others raise an error.
+    """
+    if not end_id < vocabulary <= 1 << 16:
+        raise ValueError("ids of this format have 16 bits")
     spark = df.sparkSession
     plain, plain_path = keep(_plain_blocks(df, tokenizer, end_id, vocabulary), "plain-ids")
     lengths = huffman.code_lengths(_counts(plain, vocabulary))
