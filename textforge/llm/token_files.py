@@ -184,7 +184,7 @@ def _plain_blocks(df: DataFrame, tokenizer: str, end_id: int, vocabulary: int) -
 
         def out(last: bool = False):
             wide = np.frombuffer(b"".join(parts), "<u4")
-            if int(wide.max()) >= vocabulary:
+            if int(wide.max(initial=0)) >= vocabulary:
                 raise ValueError(f"an id of {vocabulary} or more")
             tokens = wide.astype("<u2")
             counts[:] += np.bincount(tokens, minlength=vocabulary)
