@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -63,18 +64,86 @@ def test_every_cut_text_stays_somewhere(spark):
     assert sum(len(x.text) for x in rows) < 0.6 * sum(len(t) for _, t in texts)
 
 
-def test_lines_cover_the_text():
-    for text in ("", "a", "One. Two! Three?\n\nFour\n", "\n\n", " \n x", "no end. "):
-        spans = line_dedup.lines(text)
-        assert "".join(text[a:b] for a, b in spans) == text or not text.strip()
+def spans_of(text):
+    runs = line_dedup.Runs([text])
+    return [(int(runs.starts[i]), int(runs.ends[j])) for i, j in zip(*runs.chunks(), strict=True)]
+
+
+def test_lines():
+    for text in ("", "a", "One. Two! Three?\n\nFour\n", "\n\n", " \n x", "no end. ", "1.5 a.b c.\td. e\u2028f.  g"):
+        runs = line_dedup.Runs([text])
+        got = [text[runs.starts[i] : runs.ends[j]] for i, j in zip(*runs.lines(), strict=True)]
+        assert got == [x.strip() for x in re.split(r"\n|(?<=[.!?])(?= )", text) if x.strip()]
+
+
+def test_texts_in_one_slice_are_scanned_as_alone():
+    r = random.Random(4)
+    texts = [sentences(r, r.randint(0, 30)) + r.choice(["", " ", "\n", "\n\n x"]) for _ in range(40)] + ["", " ", "a"]
+    together = line_dedup.Runs(texts).rows()
+    got = sorted(zip(*(together[k].tolist() for k in ("doc", "a", "b", "c", "lo", "hi")), strict=True))
+    alone = []
+    for i, t in enumerate(texts):
+        rows = line_dedup.Runs([t]).rows()
+        alone += [(i, *x) for x in zip(*(rows[k].tolist() for k in ("a", "b", "c", "lo", "hi")), strict=True)]
+    assert got == sorted(alone) and len(got) > 100
 
 
 def test_boundaries_resist_shifts():
     r = random.Random(3)
     text = sentences(r, 60)
-    a = {c for _, _, c in line_dedup.chunks(text)}
-    b = {c for _, _, c in line_dedup.chunks(sentences(r, 3) + " " + text)}
-    assert len(a & b) >= len(a) - 3
+    a = {text[i:j] for i, j in spans_of(text)}
+    other = sentences(r, 3) + " " + text
+    b = {other[i:j] for i, j in spans_of(other)}
+    assert len(a) > 5 and len(a & b) >= len(a) - 1
+
+
+def repeats(texts, n):
+    """Words (document, first character) in a run of n words that also stands in a lower place: by all pairs of runs."""
+    seen, out = {}, set()
+    for d, text in texts:
+        words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+        for i in range(len(words) - n + 1):
+            run = text[words[i][0] : words[i + n - 1][1]]
+            if run in seen:
+                out |= {(d, a) for a, _ in words[i : i + n]}
+            else:
+                seen[run] = d, i
+    return out
+
+
+def test_line_dedup_equals_brute_force(spark):
+    r = random.Random(11)
+    pool = [sentences(r, k % 9 + 1) for k in range(30)]
+    texts = []
+    for i in range(80):
+        parts = [r.choice(pool) if r.random() < 0.4 else prose(r, r.randint(1, 40)) + r.choice([".", ""]) for _ in range(r.randint(1, 9))]
+        texts.append((i, r.choice([" ", "\n"]).join(parts)))
+    texts.append((80, texts[3][1]))
+    docs = frame(spark, texts)
+    spans = {x.doc_id: x for x in line_dedup.dedup_lines(docs).collect()}
+    first: dict[str, int] = {}
+    cut = repeats(texts, line_dedup.LONG)
+    for d, text in texts:  # chunks that stand lower, whole
+        for a, b in spans_of(text):
+            if text[a:b] in first:
+                cut |= {(d, a + m.start()) for m in re.finditer(r"\S+", text[a:b])}
+            first.setdefault(text[a:b], d)
+    # What must go is gone, and nothing that doesn't stand beside an equal word in a lower place.
+    for d, text in texts:
+        words = {(d, m.start()): m[0] for m in re.finditer(r"\S+", text)}
+        unlike = words.keys() - repeats([(-1, t) for _, t in texts[:d]] + [(d, text)], 2)
+        left = Counter(spans[d].text.split())
+        assert left <= Counter(w for k, w in words.items() if k not in cut)
+        assert left >= Counter(words[k] for k in unlike)
+    assert len(cut) > 300
+
+
+def test_line_dedup_of_nothing(spark):
+    rows = spark.createDataFrame([], "doc_id long, text string, removed_chars string, n int")
+    out = line_dedup.dedup_lines(rows)
+    assert out.columns == ["doc_id", "text", "n", "removed_chars"] and out.count() == 0
+    rows = spark.createDataFrame([(None, None, "x", 1), (None, None, "x", 1)], "doc_id long, text string, removed_chars string, n int")
+    assert [tuple(x) for x in line_dedup.dedup_lines(rows).collect()] == [(None, None, 1, 0)] * 2
 
 
 def jaccard(x, y):

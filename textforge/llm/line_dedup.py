@@ -1,171 +1,170 @@
 """Line dedup: repeated multi-line chunks with content-defined boundaries.
 
 Lines are physical lines, cut further after the end of a sentence, since a passage may sit inside a paragraph.  A rolling hash
-over the last two lines' hashes chooses where a chunk ends, so boundaries depend on content alone and come back in step
-after insertions; a line of LONG words or more is a chunk of its own.  Chunks of at least two lines and LEAST words, and
-long lines, take part.
+over the last two lines' hashes chooses where a chunk ends, with a chance of one in MEAN, and nothing else does; so
+boundaries depend on content alone and come back in step after insertions.  Chunks of at least two lines and LEAST words
+take part, and of one line if it has LONG words.
 
 So that passages of LONG words are found wherever chunks end, anchors take part too: of the runs of GRAM words in each
 window of LONG words the one of the smallest hash, which equal windows choose alike.
 
-1. Hashes of all chunks and anchors are grouped; each occurrence but the first (lowest doc_id, then earliest) is compared
-   there, byte for byte, both texts at hand, and widened on both sides as far as they are equal.  A chunk is cut as
-   it is widened, an anchor if LONG words are equal.
+1. Hashes of all chunks and anchors are counted; each occurrence of a repeated one but the first (lowest doc_id, then earliest)
+   is compared there, byte for byte, and widened on both sides as far as the texts are equal.  A chunk is cut as it is widened,
+   an anchor if LONG words are equal.  Only the part of the first document's text up to the next anchors on both
+   sides travels to the other; where texts are equal up to an end of it, step 2 compares them whole.
 2. An anchor that isn't cut may still be in a passage that stands elsewhere than in the anchor's first place: the windows that
    chose it are hashed whole and compared in the same way.
 3. Spans of a document are merged and cut from its text; ``n_chars`` follows.
 
-Only a chunk that stands in the text of a lower (doc_id, place) is cut, so one copy of it always stays.  Chunks of one hot
+Only what stands in the text of a lower (doc_id, place) is cut, so one copy of it always stays.  Chunks of one hot
 hash are counted by partial aggregation and joined, never collected.  Rows equal in doc_id and text are one document and get
 the same result.  Null texts stay null; empty texts, texts of one short line and empty tables pass unchanged; null doc_ids
-come last.  Columns beside doc_id and text pass through.
+come last.  Texts are whole whatever their length; a worker needs about 60 bytes for each character of the longest.  Columns
+beside doc_id and text pass through, whatever their names but ``removed_chars``, which is replaced.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import drop, keep
+from .bpe import slices
+from .store import drop, keep, release
 
-LINE_END = re.compile(r"\n|[.!?](?= )")
-LEAST = 12
-LONG = 50
-MOST_LINES = 16
-GRAM = 12
+#: Words of a chunk of two lines or more, of a line that is a chunk alone or of a passage, and of an anchor.
+LEAST, LONG, GRAM = 12, 50, 16
+MEAN = 3
+MEET = 64
 LAST_ID = 2**63 - 1
-
-
-def lines(text: str) -> list[tuple[int, int]]:
-    """Spans of lines; they cover the text, blank ends included."""
-    out, at = [], 0
-    for m in LINE_END.finditer(text):
-        end = m.end()
-        if text[at:end].strip():
-            out.append((at, end))
-            at = end
-    if at < len(text):
-        if text[at:].strip() or not out:
-            out.append((at, len(text)))
-        else:
-            out[-1] = (out[-1][0], len(text))
-    return out
-
-
-def chunks(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, canonical text) of the chunks that take part: their lines, stripped, one below the other."""
-    out: list[tuple[int, int, str]] = []
-    held: list[str] = []
-    start, words, before = 0, 0, 0
-
-    def close(end: int) -> None:
-        nonlocal held, words
-        if (len(held) > 1 and words >= LEAST) or words >= LONG:
-            out.append((start, end, "\n".join(held)))
-        held, words = [], 0
-
-    for a, b in lines(text):
-        line = text[a:b].strip()
-        n = line.count(" ") + 1
-        h = xxhash.xxh64_intdigest(line, 42)
-        if n >= LONG:
-            close(a)
-            held, words, start = [line], n, a
-            close(b)
-            before = h
-            continue
-        if not held:
-            start = a
-        held.append(line)
-        words += n
-        rolled = (before * 0x9E3779B97F4A7C15 + h) & 0xFFFFFFFFFFFFFFFF
-        before = h
-        if len(held) >= MOST_LINES or (len(held) > 1 and (rolled >> 32) & 1):
-            close(b)
-    close(len(text))
-    return out
-
+SLICE = 1 << 20
 
 SPACE = np.zeros(0x3002, dtype=bool)
 SPACE[[c for c in range(0x3001) if chr(c).isspace()]] = True
+STOP = np.zeros(128, dtype=bool)
+STOP[[ord(c) for c in ".!?"]] = True
 BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
 def _power(n: int) -> list[np.ndarray]:
-    """The first n powers of BASE and of its inverse modulo 2^64."""
+    """The first n powers, or more, of BASE and of its inverse modulo 2^64."""
     if len(_powers[0]) < n:
         for i, base in enumerate((BASE, INVERSE)):
-            steps = np.full(2 * n, base, dtype=np.uint64)
+            steps = np.full(n + n // 4, base, dtype=np.uint64)
             steps[0] = 1
             _powers[i] = np.multiply.accumulate(steps)
     return _powers
 
 
-class Runs:
-    """Words of a text and hashes of its runs of words, white space between them included."""
-
-    def __init__(self, text: str):
-        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-        inside = np.zeros(len(codes) + 2, dtype=bool)
-        np.logical_not(SPACE[np.minimum(codes, 0x3001)], out=inside[1:-1])
-        edges = np.flatnonzero(inside[1:] != inside[:-1])
-        self.starts, self.ends = edges[::2], edges[1::2]
-        power, self.inverse = _power(len(codes) + 1)
-        self.sums = np.zeros(len(codes) + 1, dtype=np.uint64)
-        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[: len(codes)], out=self.sums[1:])
-
-    def hashes(self, first: np.ndarray, n: int) -> np.ndarray:
-        """Hashes of the runs of n words from each of the words ``first``."""
-        a, b = self.starts[first], self.ends[first + (n - 1)]
-        h = (self.sums[b] - self.sums[a]) * self.inverse[a]
-        for _ in range(2):
-            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return h ^ (h >> np.uint64(32))
-
-    def grams(self) -> np.ndarray:
-        """Hashes of all runs of GRAM words; none for a text without a window of LONG words."""
-        n = len(self.starts)
-        return self.hashes(np.arange(n - GRAM + 1), GRAM) if n >= LONG else np.zeros(0, dtype=np.uint64)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    for _ in range(2):
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
 
 
 def _sliding(x: np.ndarray, n: int, least) -> np.ndarray:
     """The minimum or maximum, ``least``, of each n values in a row."""
+    if len(x) < n:
+        return x[:0]
     size = 1
     while 2 * size <= n:
         x, size = least(x[:-size], x[size:]), 2 * size
     return least(x[: len(x) - (n - size)], x[n - size :]) if size < n else x
 
 
-def anchors(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, hash) of the anchors: runs of GRAM words that are the smallest of some window."""
-    runs = Runs(text)
-    grams = runs.grams()
-    if not len(grams):
-        return []
-    n = LONG - GRAM + 1
-    ends = np.zeros(n - 1, dtype=np.uint64)
-    least = np.concatenate([ends, _sliding(grams, n, np.minimum), ends])
-    at = np.flatnonzero(_sliding(least, n, np.maximum) == grams)
-    return list(zip(runs.starts[at].tolist(), runs.ends[at + (GRAM - 1)].tolist(), grams[at].view(np.int64).tolist(), strict=True))
+class Runs:
+    """Words of texts, one behind the other with a space between, and hashes of runs of them, white space included."""
 
+    def __init__(self, texts: list[str]):
+        self.codes = codes = np.frombuffer(" ".join(texts).encode("utf-32-le"), dtype=np.uint32)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.sizes, self.first = sizes, np.cumsum(sizes + 1) - sizes - 1
+        inside = np.zeros(len(codes) + 2, dtype=bool)
+        np.logical_not(SPACE[np.minimum(codes, 0x3001)], out=inside[1:-1])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        self.starts, self.ends = edges[::2], edges[1::2]
+        self.doc = np.searchsorted(self.first, self.starts, side="right") - 1
+        power, self.inverse = _power(len(codes) + 1)
+        self.sums = np.zeros(len(codes) + 1, dtype=np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[: len(codes)], out=self.sums[1:])
 
-def windows(text: str, of: set[int]) -> list[tuple[int, int, int]]:
-    """(start, end, hash) of the windows of LONG words whose anchor starts at one of the characters ``of``."""
-    runs = Runs(text)
-    grams = runs.grams()
-    if not len(grams):
-        return []
-    n = LONG - GRAM + 1
-    least = np.lib.stride_tricks.sliding_window_view(grams, n).argmin(axis=1) + np.arange(len(grams) - n + 1)
-    first = np.flatnonzero(np.isin(runs.starts[least], list(of)))
-    return list(zip(runs.starts[first].tolist(), runs.ends[first + (LONG - 1)].tolist(), runs.hashes(first, LONG).view(np.int64).tolist(), strict=True))
+    def hashes(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Hashes of the runs from words ``first`` to ``last``."""
+        a, b = self.starts[first], self.ends[last]
+        return _mixed((self.sums[b] - self.sums[a]) * self.inverse[a])
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes, not 0, of the runs of GRAM words from each word, and which of them are of one text."""
+        first = np.arange(max(0, len(self.starts) - GRAM + 1))
+        return self.hashes(first, first + (GRAM - 1)) | np.uint64(1), self.doc[: len(first)] == self.doc[GRAM - 1 :]
+
+    def windows(self) -> np.ndarray:
+        """Which runs of LONG words are of one text."""
+        return self.doc[: max(0, len(self.doc) - LONG + 1)] == self.doc[LONG - 1 :]
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """First words and hashes of the anchors: runs of GRAM words that are the smallest of some window."""
+        grams, whole = self.grams()
+        n = LONG - GRAM + 1
+        ends = np.zeros(n - 1, dtype=np.uint64)
+        least = np.where(self.windows(), _sliding(grams, n, np.minimum), np.uint64(0))
+        if not len(least):
+            return np.zeros(0, np.int64), grams[:0]
+        at = np.flatnonzero((_sliding(np.concatenate([ends, least, ends]), n, np.maximum) == grams) & whole)
+        return at, grams[at]
+
+    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """First and last words of the lines."""
+        if not len(self.starts):
+            return self.starts, self.starts
+        breaks = np.cumsum(np.append(0, self.codes == 10))
+        gap = self.ends[:-1]
+        stop = STOP[np.minimum(self.codes[gap - 1], 127)] & (self.codes[gap] == 32)
+        ended = stop | (breaks[gap] != breaks[self.starts[1:]]) | (self.doc[1:] != self.doc[:-1])
+        last = np.append(np.flatnonzero(ended), len(self.starts) - 1)
+        return np.append(0, last[:-1] + 1), last
+
+    def chunks(self) -> tuple[np.ndarray, np.ndarray]:
+        """First and last words of the chunks that take part."""
+        first, last = self.lines()
+        if not len(first):
+            return first, last
+        h, doc = self.hashes(first, last), self.doc[first]
+        before = np.where(np.append(False, doc[1:] == doc[:-1]), np.append(np.uint64(0), h[:-1]), np.uint64(0))
+        rolled = _mixed(before * np.uint64(BASE) + h)
+        ended = ((rolled >> np.uint64(32)) % np.uint64(MEAN) == 0) | np.append(doc[1:] != doc[:-1], True)
+        end = np.flatnonzero(ended)
+        begin = np.append(0, end[:-1] + 1)
+        words = last[end] - first[begin] + 1
+        take = ((end > begin) & (words >= LEAST)) | (words >= LONG)
+        return first[begin[take]], last[end[take]]
+
+    def rows(self) -> dict[str, np.ndarray]:
+        """doc, a, b, c (hash, odd for chunks), lo, hi (from the anchor before to the one behind) of chunks and anchors."""
+        at, grams = self.anchors()
+        first, last = self.chunks()
+        left, right, of = self.starts[at], self.ends[at + (GRAM - 1)], self.doc[at]
+        c = np.append(grams & ~np.uint64(1), _mixed(self.hashes(first, last)) | np.uint64(1))
+        a, b, doc = np.append(left, self.starts[first]), np.append(right, self.ends[last]), np.append(of, self.doc[first])
+        base, end = self.first[doc], self.first[doc] + self.sizes[doc]
+        # Anchors of other texts lie outside of this one's bounds.
+        lo = np.maximum(base, np.append(-1, left)[np.searchsorted(left, a, side="left")])
+        hi = np.minimum(end, np.append(right, len(self.codes))[np.searchsorted(right, b, side="right")])
+        return {"doc": doc, "a": a - base, "b": b - base, "c": c.view(np.int64), "lo": lo - base, "hi": hi - base}
+
+    def windows_of(self, chars: list[int]) -> list[tuple[int, int, int]]:
+        """(start, end, hash) of the windows of LONG words whose anchor starts at one of ``chars``, of a single text."""
+        grams, _ = self.grams()
+        n = LONG - GRAM + 1
+        if len(grams) < n:
+            return []
+        least = np.lib.stride_tricks.sliding_window_view(grams, n).argmin(axis=1) + np.arange(len(grams) - n + 1)
+        first = np.flatnonzero(np.isin(self.starts[least], chars))
+        h = self.hashes(first, first + (LONG - 1)) & ~np.uint64(1)
+        return list(zip(self.starts[first].tolist(), self.ends[first + (LONG - 1)].tolist(), h.view(np.int64).tolist(), strict=True))
 
 
 def _keys(docs: DataFrame) -> DataFrame:
@@ -173,26 +172,23 @@ def _keys(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__tf_d", d).withColumn("__tf_h", F.xxhash64(F.col("text").cast("string")))
 
 
-def _hashes(docs: DataFrame) -> DataFrame:
-    """A row for each chunk (document, span, two hashes) and each anchor (its second hash is 0)."""
+PLACES = "d long, h long, a int, b int, c long, lo int, hi int"
+
+
+def _places(docs: DataFrame) -> DataFrame:
+    """A row for each chunk and anchor: document, span, hash, and how far texts are compared at first."""
 
     def run(batches):
         for batch in batches:
-            ids, own, texts = (c.to_pylist() for c in batch.columns)
-            columns: list[list] = [[] for _ in range(6)]
-            for d, h, text in zip(ids, own, texts, strict=True):
-                rows = []
-                for a, b, body in chunks(text):
-                    raw = body.encode()
-                    rows.append((d, h, a, b, xxhash.xxh64_intdigest(raw, 1) - 2**63, xxhash.xxh64_intdigest(raw, 2) - 2**63))
-                rows += [(d, h, a, b, c1, 0) for a, b, c1 in anchors(text)]
-                for row in rows:
-                    for c, v in zip(columns, row, strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()], strict=True)], names=["d", "h", "a", "b", "c1", "c2"])
+            d, h = (batch.column(i).to_numpy() for i in range(2))
+            for at, texts in slices(batch, "text", SLICE):
+                rows = Runs(texts).rows()
+                doc = rows.pop("doc") + at
+                columns = [pa.array(d[doc]), pa.array(h[doc]), *(pa.array(v, pa.int64() if k == "c" else pa.int32()) for k, v in rows.items())]
+                yield pa.RecordBatch.from_arrays(columns, names=["d", "h", *rows])
 
     rows = docs.where("text IS NOT NULL").select("__tf_d", "__tf_h", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "d long, h long, a int, b int, c1 long, c2 long")
+    return rows.mapInArrow(run, PLACES)
 
 
 def _same(equal, most: int) -> int:
@@ -210,73 +206,104 @@ def _same(equal, most: int) -> int:
     return n
 
 
-def widened(x: str, a: int, b: int, y: str, a2: int, b2: int) -> tuple[int, int]:
-    """The span a, b of x, equal to a2, b2 of y, as far as whole words beside it are equal too."""
-    n = _same(lambda i, j: x[a - j : a - i] == y[a2 - j : a2 - i], min(a, a2))
+def widened(x: str, a: int, b: int, y: str, at: int) -> tuple[int, int, bool, bool]:
+    """The span a, b of x, equal to y from ``at`` on, as far as whole words beside it, and white space before them, are equal too.
+
+    Also whether the texts are equal up to the start, and to the end, of y.
+    """
+    end = at + b - a
+    n = _same(lambda i, j: x[a - j : a - i] == y[at - j : at - i], min(a, at))
+    m = _same(lambda i, j: x[b + i : b + j] == y[end + i : end + j], min(len(x) - b, len(y) - end))
+    left, right = n == at, m == len(y) - end
     if n < a and not x[a - n - 1].isspace():
         while n and not x[a - n].isspace():
             n -= 1
-    m = _same(lambda i, j: x[b + i : b + j] == y[b2 + i : b2 + j], min(len(x) - b, len(y) - b2))
     if b + m < len(x) and not x[b + m].isspace():
         while m and not x[b + m - 1].isspace():
             m -= 1
-    return a - n, b + m
+    while m and x[b + m - 1].isspace():  # what stands behind the span keeps its white space
+        m -= 1
+    return a - n, b + m, left, right
 
 
-def _canonical(text: str, a: int, b: int) -> str:
-    return "\n".join(text[a + i : a + j].strip() for i, j in lines(text[a:b]))
+def compare(x: str, part: str, at: int, whole: int, shift: int, places: list[tuple[int, int, bool]]) -> tuple[set[tuple[int, int]], set[int], set[tuple[int, int, bool]]]:
+    """Places (a, b, is a chunk) of x against a text of ``whole`` characters, of which ``part`` starts at ``at``; x[i] meets its i - shift.
 
-
-def compare(x: str, y: str, places: list[tuple[int, int, int, int, bool]]) -> tuple[list[tuple[int, int]], set[int]]:
-    """Spans to cut from x, and starts of anchors that aren't in one, for places (a, b, a2, b2, is a chunk) of x and y."""
+    Returns the spans to cut, the starts of anchors that aren't in one, and the places whose equal texts reach past ``part``.
+    """
     cut: set[tuple[int, int]] = set()
     alone: set[int] = set()
-    last: dict[int, tuple[int, int, bool]] = {}  # by the distance of the two places: the last equal span, and if it's long
-    for a, b, a2, b2, chunk in sorted(places):
-        seen = last.get(a - a2)
-        if not seen or a < seen[0] or b > seen[1] or b - a != b2 - a2:
-            if x[a:b] != y[a2:b2] and not (chunk and _canonical(x, a, b) == _canonical(y, a2, b2)):
+    open_: set[tuple[int, int, bool]] = set()
+    last = (0, -1, False, False)  # the last equal span, whether it's long, and whether it goes on past part
+    for a, b, chunk in sorted(places):
+        if not (last[0] <= a and b <= last[1]):
+            i = a - shift - at
+            if x[a:b] != part[i : i + b - a]:
                 if not chunk:
                     alone.add(a)
                 continue
-            lo, hi = widened(x, a, b, y, a2, b2)
-            seen = last[a - a2] = lo, hi, len(x[lo:hi].split(None, LONG - 1)) == LONG
-        if chunk or seen[2]:
-            cut.add(seen[:2])
-        else:
+            lo, hi, left, right = widened(x, a, b, part, i)
+            more = (left and lo > 0 and at > 0) or (right and hi < len(x) and at + len(part) < whole)
+            last = lo, hi, len(x[lo:hi].split(None, LONG - 1)) == LONG, more
+            if more:
+                open_.add((a, b, chunk))
+        if chunk or last[2]:
+            cut.add(last[:2])
+        elif not last[3]:
             alone.add(a)
-    return sorted(cut), alone
+    return cut, alone, open_
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    """The places of repeated hashes but the first ones: d, h, d2, h2 (the first one's document), shift, places, lo, hi."""
+    # As tables of their own, hashes and first places are shuffled for the joins, and Spark can split a hot hash over tasks.
+    several, several_path = keep(found.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c"), "repeated-hashes")
+    again, again_path = keep(found.join(several, "c"), "repeated")
+    first, first_path = keep(again.groupBy("c").agg(F.min(F.struct("d", "h", "a")).alias("f")), "first-places")
+    pairs = again.join(first, "c").where(~((F.col("d") == F.col("f.d")) & (F.col("h") == F.col("f.h")) & (F.col("a") == F.col("f.a"))))
+    place = F.struct("a", "b", (F.col("c") % 2 != 0).alias("chunk"))
+    shift = (F.col("a") - F.col("f.a")).alias("shift")
+    pairs, _ = keep(pairs.groupBy("d", "h", F.col("f.d").alias("d2"), F.col("f.h").alias("h2"), shift).agg(F.collect_set(place).alias("places"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "pairs")
+    drop(found.sparkSession, several_path, again_path, first_path)
+    return pairs
+
+
+SPANS = "d long, h long, a int, b int, c long, d2 long, h2 long, shift int, chunk boolean"
 
 
-def _spans(found: DataFrame, texts: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """d, h, a, b of the spans to cut (c is null) and of the windows, of hash c, whose anchors aren't in one."""
+def _spans(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    """Spans to cut (c and d2 are null), windows of hash c whose anchors aren't in one, and places to compare whole (d2 and so on)."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for d, h, x, y, places in zip(*(batch.column(i) for i in range(5)), strict=True):
-                d, h, x = d.as_py(), h.as_py(), x.as_py()
-                cut, alone = compare(x, y.as_py(), list({(p["a"], p["b"], p["a2"], p["b2"], p["chunk"]) for p in places.as_py()}))
-                out += [(d, h, a, b, None) for a, b in cut]
+            d, h, x, met = batch.columns
+            for i in range(batch.num_rows):
+                k, text, alone = (d[i].as_py(), h[i].as_py()), x[i].as_py(), set()
+                for m in met[i].as_py():
+                    cut, lone, more = compare(text, m["part"], m["at"], m["whole"], m["shift"], [(p["a"], p["b"], p["chunk"]) for p in m["places"]])
+                    alone |= lone
+                    out += [(*k, a, b, None, None, None, None, None) for a, b in cut]
+                    out += [(*k, a, b, None, m["d2"], m["h2"], m["shift"], chunk) for a, b, chunk in more]
                 if alone:
-                    out += [(d, h, a, b, c) for a, b, c in windows(x, alone)]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()], strict=True)], names=["d", "h", "a", "b", "c"])
-
-    place = F.struct("d", "h", "a", "b")
-    first = found.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("f")).where("n > 1").select("c1", "c2", "f")
-    # As a table of its own it is shuffled for the join, and Spark can split a hot chunk's occurrences over tasks.
-    first, first_path = keep(first, "first-places")
-    pairs = found.join(first, ["c1", "c2"]).where(~((F.col("d") == F.col("f.d")) & (F.col("h") == F.col("f.h")) & (F.col("a") == F.col("f.a"))))
-    at = F.struct("a", "b", F.col("f.a").alias("a2"), F.col("f.b").alias("b2"), (F.col("c2") != 0).alias("chunk"))
-    pairs, pairs_path = keep(pairs.groupBy("d", "h", F.col("f.d").alias("d2"), F.col("f.h").alias("h2")).agg(F.collect_list(at).alias("places")), "pairs")
-    drop(found.sparkSession, first_path)
-    own = texts.select(F.col("__tf_d").alias("d"), F.col("__tf_h").alias("h"), F.col("text").alias("x"))
-    other = texts.select(F.col("__tf_d").alias("d2"), F.col("__tf_h").alias("h2"), F.col("text").alias("y"))
-    both = pairs.join(own, ["d", "h"]).join(other, ["d2", "h2"]).select("d", "h", "x", "y", "places")
-    spans = keep(both.mapInArrow(run, "d long, h long, a int, b int, c long"), name)
-    drop(found.sparkSession, pairs_path)
-    return spans
+                    out += [(*k, a, b, c, None, None, None, None) for a, b, c in Runs([text]).windows_of(list(alone))]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 9
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["d", "h", "a", "b", "c", "d2", "h2", "shift", "chunk"])
+
+    # A first document that many others meet has its text sent in copies, one for each MEET of them.
+    hot = pairs.groupBy("d2", "h2").agg(F.count(F.lit(1)).alias("n")).select("d2", "h2", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / MEET))).alias("salt"), F.floor(F.col("n") / MEET).alias("top"))
+    other = hot.join(texts.select(F.col("__tf_d").alias("d2"), F.col("__tf_h").alias("h2"), "text"), ["d2", "h2"])
+    tops = hot.where("salt = 0 AND top > 0").select("d2", "h2", "top")
+    salted = pairs.join(tops, ["d2", "h2"], "left").withColumn("salt", F.pmod(F.xxhash64("d", "h", "shift"), F.coalesce("top", F.lit(0)) + 1)).drop("top")
+    at = F.greatest(F.col("lo") - F.col("shift"), F.lit(0))
+    end = F.least(F.col("hi").cast("long") - F.col("shift"), F.length("text")).cast("int")
+    part = F.substring("text", at + 1, F.greatest(end - at, F.lit(0)))
+    parts = salted.join(other.drop("top"), ["d2", "h2", "salt"])
+    parts = parts.select("d", "h", F.struct("d2", "h2", "shift", "places", at.alias("at"), part.alias("part"), F.length("text").alias("whole")).alias("m"))
+    met = parts.groupBy("d", "h").agg(F.collect_list("m").alias("met"))
+    both = met.join(texts.select(F.col("__tf_d").alias("d"), F.col("__tf_h").alias("h"), F.col("text").alias("x")), ["d", "h"])
+    return keep(both.select("d", "h", "x", "met").mapInArrow(run, SPANS), name)[0]
 
 
 def _kept(spans: DataFrame) -> DataFrame:
@@ -298,24 +325,31 @@ def _kept(spans: DataFrame) -> DataFrame:
             kept = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), kept, pa.int64()], strict=True)], names=["__tf_d", "__tf_h", "__tf_kept", "__tf_gone"])
 
-    grouped = spans.groupBy("d", "h").agg(F.collect_list(F.struct("a", "b")).alias("cut"))
+    grouped = spans.groupBy("d", "h").agg(F.collect_set(F.struct("a", "b")).alias("cut"))
     return grouped.mapInArrow(run, "__tf_d long, __tf_h long, __tf_kept array<struct<at:int,n:int>>, __tf_gone long")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated chunks cut from ``text`` and ``n_chars`` (if there) set anew; adds ``removed_chars``."""
+    spark = docs.sparkSession
     columns = [c for c in docs.columns if c != "removed_chars"]
     keyed = _keys(docs.select(*columns))
-    found, found_path = keep(_hashes(keyed), "chunks")
     texts = keyed.where("text IS NOT NULL").select("__tf_d", "__tf_h", F.col("text").cast("string").alias("text")).dropDuplicates(["__tf_d", "__tf_h"])
-    spans, _ = _spans(found, texts, "spans")
-    drop(docs.sparkSession, found_path)
-    left = spans.where("c IS NOT NULL").select("d", "h", "a", "b", F.col("c").alias("c1"), F.lit(0).cast("long").alias("c2"))
+    found, found_path = keep(_places(keyed), "places")
+    pairs = _pairs(found)
+    drop(spark, found_path)
+    release(spark)
+    spans = _spans(pairs, texts, "spans")
+    release(spark)
+    left = spans.where("c IS NOT NULL OR d2 IS NOT NULL")
     if not left.isEmpty():
-        more, _ = _spans(left, texts, "more-spans")
-        spans = spans.union(more)
-    spans = spans.where("c IS NULL")
-    joined = keyed.join(_kept(spans), ["__tf_d", "__tf_h"], "left")
+        end = F.lit(2**31 - 1)
+        more = _pairs(left.where("c IS NOT NULL").select("d", "h", "a", "b", "c", F.lit(0).alias("lo"), end.alias("hi")))
+        open_ = left.where("d2 IS NOT NULL").groupBy("d", "h", "d2", "h2", "shift").agg(F.collect_set(F.struct("a", "b", "chunk")).alias("places"), F.lit(0).alias("lo"), end.alias("hi"))
+        spans = spans.union(_spans(more.unionByName(open_), texts, "more-spans"))
+        release(spark)
+    kept, _ = keep(_kept(spans.where("c IS NULL AND d2 IS NULL")), "kept")
+    joined = keyed.join(kept, ["__tf_d", "__tf_h"], "left")
     text = F.expr("CASE WHEN __tf_kept IS NULL THEN text ELSE array_join(transform(__tf_kept, s -> substring(text, s.at, s.n)), '') END")
     out = joined.withColumn("text", text)
     if "n_chars" in columns:

@@ -1,11 +1,12 @@
 """Tables in the folder that all executors share.
 
 Intermediate tables cut lineage and survive lost executors.  The folder is the one the cluster names in
-``spark.checkpoint.dir``; only where that is unset (unit tests) a temporary folder of this machine is set.
+``spark.checkpoint.dir``; only where that is unset and all runs on one machine (unit tests) a temporary folder is set.
 """
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     where = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = getattr(spark, "_textforge_dir", None)
         if not where:
             where = tempfile.mkdtemp(prefix="textforge-")
@@ -43,6 +46,12 @@ def drop(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(hconf).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are done: it does so once the driver's JVM has collected their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder."""
     ship(spark)
