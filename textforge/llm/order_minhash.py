@@ -7,7 +7,8 @@ The likeness of two fingerprints is the share of bins, used by either, that hold
 
 All of it happens inside a row: two sorts of 64-bit integers, with the hash in the upper 40 bits and the position in the lower
 24 (positions wrap beyond 16 million words; nothing else depends on the length).  Null texts are empty.  Texts of
-fewer than K words are one k-mer; those without words have an empty fingerprint.
+fewer than K words are one k-mer; those without words have an empty fingerprint.  Equal texts have equal fingerprints; rows that
+repeat follow one another.  Columns but doc_id and text, whatever their names, are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -15,12 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import keep
+
 K = 3
 BINS = 64
 PICK = 2
 LOW = (1 << 24) - 1
-#: Documents for each bucket of neighbouring doc_ids, and buckets for each group of buckets.
-BUCKET, GROUP = 16, 4096
+#: Documents for each bucket of neighbouring doc_ids, as long as there are no more than MOST buckets.
+BUCKET, MOST = 64, 1 << 14
+NO_ID = -(2**63)
 
 
 def add_signature(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -61,35 +65,41 @@ def as_string(sig: str) -> Column:
     return F.expr(f"array_join(transform({sig}, x -> lower(lpad(hex(x), 16, '0'))), '')")
 
 
+def with_bucket(docs: DataFrame) -> DataFrame:
+    """v, h, text, bucket of each document; buckets are in order of v (doc_id, null first) and h (the text's hash).
+
+    Split points are quantiles of v, so buckets are about equal whatever the ids.  Where one id takes several split points,
+    its rows are dealt out among their buckets by hash.
+    """
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("v"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    n = docs.count()
+    buckets = 1 << min(MOST.bit_length() - 1, max(0, (n // BUCKET).bit_length()))
+    splits = rows.agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)] or [0.5], 4 * buckets)).first()[0] or []
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    array = f"from_json('{sorted(map(int, splits))}', 'array<bigint>')"
+    steps = ", ".join(str(1 << k) for k in range(buckets.bit_length() - 1, -1, -1))
+    below = lambda op: F.expr(f"aggregate(array({steps}), 0, (at, step) -> IF(get({array}, at + step - 1) {op} v, at + step, at))")
+    rows = rows.withColumn("lt", below("<")).withColumn("le", below("<="))
+    share = F.floor(F.expr("shiftrightunsigned(h, 11) / 9007199254740992D") * (F.col("le") - F.col("lt")))
+    return rows.withColumn("bucket", F.col("lt") + share.cast("int")).drop("lt", "le")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, sig and next_text, next_sig: those of the next document by doc_id; the first's after the last.
 
-    Documents fall into buckets of neighbouring ids, about BUCKET in each, and find their next one within the bucket.  The
-    last of a bucket joins the first of the next bucket that has any; which bucket that is comes from a running pass
-    over each group of GROUP buckets, and one over the groups (a row for each 65,536 documents or so).  Null ids come
-    first, rows of one id by text.
+    Documents find their next one within their bucket.  The last of a bucket joins the first of the next bucket that has any;
+    these first ones, at most MOST, are a table of their own.  Null ids come first, rows of one id by their texts' hashes.
     """
-    spark = docs.sparkSession
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) * BUCKET // max(1, n)))
-    bucket = F.coalesce(F.floor((F.col("doc_id") - low) / F.lit(float(width))), F.lit(-1)).cast("long")
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = add_signature(rows, "text", "sig").withColumn("bucket", bucket)
-    near = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    rows = rows.withColumn("place", F.row_number().over(near)).withColumn("next_text", F.lead("text").over(near)).withColumn("next_sig", F.lead("sig").over(near))
-
-    used = docs.select(bucket.alias("bucket")).groupBy("bucket").agg(F.lit(1).alias("one")).drop("one")
-    used = used.withColumn("group", F.floor(F.col("bucket") / float(GROUP)))
-    in_group = Window.partitionBy("group").orderBy("bucket")
-    ends = used.groupBy("group").agg(F.min("bucket").alias("start"))
-    over = Window.orderBy("group")  # one row for each group of buckets
-    ends = ends.select("group", F.coalesce(F.lead("start").over(over), F.first("start").over(over)).alias("later"))
-    order = used.withColumn("inner", F.lead("bucket").over(in_group)).join(ends, "group")
-    order = order.select("bucket", F.coalesce("inner", "later").alias("next_bucket"))
-
     columns = ["doc_id", "text", "sig", "next_text", "next_sig"]
-    first = rows.where("place = 1").select(F.col("bucket").alias("next_bucket"), F.col("text").alias("next_text"), F.col("sig").alias("next_sig"))
+    placed = with_bucket(docs)
+    near = Window.partitionBy("bucket").orderBy("v", "h", "text")
+    head = placed.withColumn("place", F.row_number().over(near)).where("place = 1")
+    head, _ = keep(add_signature(head.select("bucket", "text"), "text", "sig"), "bucket-heads")
+    over = Window.orderBy("bucket")  # one row for each bucket
+    order = head.select("bucket", F.coalesce(F.lead("bucket").over(over), F.first("bucket").over(over)).alias("next_bucket"))
+    first = head.select(F.col("bucket").alias("next_bucket"), F.col("text").alias("next_text"), F.col("sig").alias("next_sig"))
+
+    rows = add_signature(placed, "text", "sig").withColumn("next_text", F.lead("text").over(near)).withColumn("next_sig", F.lead("sig").over(near))
     last = rows.where("next_text IS NULL").drop("next_text", "next_sig").join(order, "bucket").join(first, "next_bucket")
     return rows.where("next_text IS NOT NULL").select(*columns).union(last.select(*columns))
 
