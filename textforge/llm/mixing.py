@@ -9,7 +9,9 @@ A source's order is never made in one task.  Keys fall into SLICES slices by a m
 each slice are added up first, so that only rows of one slice are sorted together.
 
 Null texts have size 0; documents of size 0 are taken 0 times.  A null source is a source of its own, the last one.
-Rows of one doc_id get the same key and an order by size; equal rows share one result each.  Extra columns are ignored.
+Rows of one doc_id get the same key and an order by size, those of one size by their texts' hashes where texts are taken; equal
+rows have one result each.  Texts have no bound of length.  Columns but doc_id, text and source, whatever their names, are
+ignored, and without ``source`` all is one source; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import keep
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -60,22 +64,34 @@ def targets(sizes: DataFrame) -> DataFrame:
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """doc_id, source, size, source_size, target, times, taken for each row of ``docs``."""
+def _mixed(docs: DataFrame, seed: int, carry: list[str]) -> DataFrame:
     source = F.col("source").cast("string").alias("source") if "source" in docs.columns else F.lit(None).cast("string").alias("source")
-    rows = docs.select("doc_id", source, word_count(F.col("text")).alias("size"), quality(F.col("text")).alias("quality"))
+    rows = docs.select("doc_id", source, word_count(F.col("text")).alias("size"), quality(F.col("text")).alias("quality"), *([F.xxhash64("text").alias("tie"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else [F.lit(0).alias("tie")]))
     rows = rows.withColumn("key", -F.ln(uniform(F.col("doc_id"), seed)) / F.col("quality"))
     rows = rows.withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * SLICES).cast("int"))
+    if not carry:
+        rows, _ = keep(rows, "sizes")  # texts are read once
     sums = rows.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")))
     prior = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("prior", F.coalesce(F.sum("words").over(prior), F.lit(0)))
     plan = sums.alias("s").join(goal.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select("s.source", "slice", "prior", "source_size", "target")
     joined = rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.slice") == F.col("p.slice")))
-    within = Window.partitionBy("r.source", "r.slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("r.source", "r.slice").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reached = F.col("prior") + F.sum("size").over(within)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.col("target") - epochs * F.col("source_size")
     fits = (reached - F.col("size") / 2 <= rest) & (F.col("size") > 0) & (rest > 0)
-    joined = joined.withColumn("times", (epochs + F.when(fits, 1).otherwise(0)).cast("int"))
-    return joined.select("doc_id", F.col("r.source").alias("source"), "size", "source_size", "target", "times", (F.col("size") * F.col("times")).cast("long").alias("taken"))
+    return joined.withColumn("times", (epochs + F.when(fits, 1).otherwise(0)).cast("int"))
+
+
+def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """doc_id, source, size, source_size, target, times, taken for each row of ``docs``."""
+    rows = _mixed(docs, seed, [])
+    return rows.select("doc_id", F.col("r.source").alias("source"), "size", "source_size", "target", "times", (F.col("size") * F.col("times")).cast("long").alias("taken"))
+
+
+def take(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it: the sum of its ``times``, repeated and null doc_ids included."""
+    rows = _mixed(docs, seed, docs.columns).where("times > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[F.col(f"row.`{c}`") for c in docs.columns])
