@@ -5,8 +5,10 @@ words of their class, id and role, and properties of its text (length, links, pu
 rest; it is trained on labelled pages, which are generated here from many layouts, and decoded by Viterbi.
 
 Scripts, styles, comments and the like have no text.  Character references are decoded; white space inside a block becomes
-one space.  Null and empty pages, and pages without content, give an empty text.  Tags left open or closed twice are
-repaired as browsers do for paragraphs and list items; anything else closes with its parent.
+one space.  Null and empty pages, and pages without content, give an empty text; rows that repeat have one result each, and an
+empty table gives no row.  Pages are whole whatever their length and depth: time grows with the length alone.  Tags left open or
+closed twice are repaired as browsers do for paragraphs and list items; anything else closes with its parent.  Kept columns
+named text or n_chars are replaced.
 """
 
 from __future__ import annotations
@@ -20,8 +22,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+#: Comments, and the three elements whose content is raw text, run to the end of a page that doesn't close them.  Other elements
+#: without text of the page are skipped only if they're closed before another one of their kind opens.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|select|textarea|button)\b.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea)(?=[\s/>]).*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+    r"|<(noscript|template|svg|iframe|object|select|button)(?=[\s/>])(?:(?!<\2[\s/>]).)*?</\2\s*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -36,13 +41,72 @@ SIZE = 1 << 13
 MEMO = 100_000
 
 
-def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
-    """(text, marks of the ancestors, share of characters in links) of each block with text."""
-    out: list[tuple[str, tuple[str, ...], float]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+@lru_cache(maxsize=MEMO)
+def feature(name: str) -> int:
+    return zlib.crc32(name.encode()) % SIZE
+
+
+class Path:
+    """The open elements, and how many of them have each feature: at most SIZE features, however deep a page is."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, list[int]]] = []
+        self.features: dict[int, int] = {}
+        self.names: dict[str, int] = {}
+
+    def push(self, name: str, attributes: str) -> None:
+        marks = [feature(f"a={name}")]
+        if attributes:
+            for values in ATTRIBUTE.findall(attributes):
+                marks += [feature(f"c={w}") for w in WORD.findall("".join(values).lower())]
+        for f in marks:
+            self.features[f] = self.features.get(f, 0) + 1
+        self.names[name] = self.names.get(name, 0) + 1
+        self.stack.append((name, marks))
+
+    def cut(self, size: int) -> None:
+        while len(self.stack) > size:
+            name, marks = self.stack.pop()
+            self.names[name] -= 1
+            for f in marks:
+                self.features[f] -= 1
+                if not self.features[f]:
+                    del self.features[f]
+
+    def close(self, name: str) -> None:
+        """Close the innermost element of a name; an inline one only inside of the innermost block."""
+        if not self.names.get(name):
+            return
+        inline = name in INLINE
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] == name:
+                return self.cut(i)
+            if inline and self.stack[i][0] not in INLINE:
+                return None
+
+    def close_for(self, name: str) -> None:
+        """Close the paragraph or the like that the opening of a block ends."""
+        closes = CLOSES.get(name, ())
+        for i in range(len(self.stack) - 1, -1, -1):
+            tag = self.stack[i][0]
+            if tag == "p" or tag in closes:
+                return self.cut(i)
+            if tag not in INLINE:
+                return None
+
+    def all_features(self) -> tuple[int, ...]:
+        tags = [t for t, _ in self.stack[-2:]]
+        more = (f"depth={min(len(self.stack), 8)}", f"leaf={tags[-1] if tags else ''}", f"pair={'/'.join(tags)}")
+        return (*self.features, *{feature(m) for m in more}.difference(self.features))
+
+
+def blocks(page: str) -> list[tuple[str, tuple[int, ...], float]]:
+    """(text, features of the ancestors, share of characters in links) of each block with text."""
+    out: list[tuple[str, tuple[int, ...], float]] = []
+    path = Path()
     parts: list[str] = []
-    path: tuple[str, ...] = ()
-    linked, links = 0, 0
+    found: tuple[int, ...] = ()
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
@@ -50,18 +114,18 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
             raw = "".join(parts)
             text = SPACE.sub(" ", html.unescape(raw)).strip()
             if text:
-                out.append((text, path, linked / max(1, len(raw))))
+                out.append((text, found, linked / max(1, len(raw))))
             parts.clear()
             linked = 0
 
     def add(text: str) -> None:
-        nonlocal path, linked
+        nonlocal found, linked
         if not parts:
             if not text.strip():
                 return
-            path = tuple(m for _, marks in stack for m in marks)
+            found = path.all_features()
         parts.append(text)
-        if links:
+        if path.names.get("a"):
             linked += len(text)
 
     at = 0
@@ -69,7 +133,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
-        name = m[3]
+        name = m[4]
         if name is None:
             continue
         name = name.lower()
@@ -81,48 +145,19 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         inline = name in INLINE
         if not inline:
             flush()
-        if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if inline and stack[i][0] not in INLINE:
-                    break
+        if m[3]:
+            path.close(name)
         else:
             if not inline:
-                closes = CLOSES.get(name, ())
-                for i in range(len(stack) - 1, -1, -1):
-                    tag = stack[i][0]
-                    if tag == "p" or tag in closes:
-                        del stack[i:]
-                        break
-                    if tag not in INLINE:
-                        break
-            marks = [f"a={name}"]
-            if m[4]:
-                for values in ATTRIBUTE.findall(m[4]):
-                    marks += [f"c={w}" for w in WORD.findall("".join(values).lower())]
-            stack.append((name, tuple(marks)))
-        links = sum(t == "a" for t, _ in stack) if name == "a" or not inline else links
+                path.close_for(name)
+            path.push(name, m[5])
     if at < len(page):
         add(page[at:])
     flush()
     return out
 
 
-@lru_cache(maxsize=MEMO)
-def feature(name: str) -> int:
-    return zlib.crc32(name.encode()) % SIZE
-
-
-@lru_cache(maxsize=20_000)
-def path_features(path: tuple[str, ...]) -> tuple[int, ...]:
-    tags = [m for m in path if m[0] == "a"]
-    names = {*path, f"depth={min(len(tags), 8)}", f"leaf={tags[-1] if tags else ''}", f"pair={'/'.join(tags[-2:])}"}
-    return tuple(feature(n) for n in sorted(names))
-
-
-def block_features(block: tuple[str, tuple[str, ...], float]) -> list[int]:
+def block_features(block: tuple[str, tuple[int, ...], float]) -> list[int]:
     text, path, links = block
     n = len(text)
     names = [f"len={min(n.bit_length(), 11)}", f"links={round(links * 4)}", "stop" if text[-1] in ".!?:;\"" else "open", "bias"]
@@ -130,7 +165,7 @@ def block_features(block: tuple[str, tuple[str, ...], float]) -> list[int]:
         names.append("sign")
     if n < 400 and text.count("|") + text.count("·") > 1:
         names.append("bars")
-    return [*path_features(path), *map(feature, names)]
+    return [*path, *map(feature, names)]
 
 
 class Field:
