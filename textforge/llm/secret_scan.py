@@ -1,12 +1,16 @@
 """Secret scans: base patterns, and a character convolutional network over every candidate and its context.
 
 Candidates are all runs of 12 or more characters of the alphabet of keys that hold a digit or mixed case.  The network
-sees BEFORE characters before a candidate and AFTER from its start, marks which of them belong to it, and is trained
-on labelled findings: a generated set of secrets and of things that look like them (mail and web addresses, numbers, paths,
-words, dates, version strings, identifiers).  The threshold is the largest one that keeps the share RECALL of the calibration
-set's secrets; scores are calibrated by Platt scaling on the same set.
-
-Base findings always stay; the network adds candidates that touch none of them.  Null and empty texts have no findings.
+sees each of them whole, with BEFORE characters before it and AFTER behind it, in windows of WIDTH characters a STRIDE apart, in
+which the candidate's characters are marked; a candidate's score is that of its highest window, so a key deep inside a long run
+counts as one by itself does.  The network is trained on labelled findings: a generated set of secrets, alone and inside
+of longer runs, and of things that look like them (mail and web addresses, numbers, paths, words, dates, version strings,
+identifiers).  The threshold is the largest one that keeps the share RECALL of the calibration set's secrets; scores are calibrated
+by Platt scaling on the same set.
+
+Base findings always stay; what they leave of a run is a candidate if it's long enough.  Spans are in order of start, then kind, so
+nothing ties; rows that repeat have one result each.  Null and empty texts have no findings, texts are read whole whatever their
+length, an empty table gives no row, and kept columns with names of the results are replaced.
 """
 
 from __future__ import annotations
@@ -25,8 +29,7 @@ HINT = re.compile(r"(?i:passw|secret|token|api)", re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
-BEFORE, AFTER = 16, 32
-WIDTH = BEFORE + AFTER
+BEFORE, AFTER, WIDTH, STRIDE = 16, 8, 48, 24
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-@:\"' \n"
 CODE = np.full(128, len(ALPHABET) + 1, dtype=np.uint8)
 CODE[[ord(c) for c in ALPHABET]] = np.arange(1, len(ALPHABET) + 1)
@@ -46,33 +49,46 @@ def base_findings(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Runs that may be keys: with a digit, or capitals other than a first one next to small letters."""
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Runs, or what base findings leave of them, that may be keys: with a digit, or capitals other than a first one next to small letters."""
     out = []
+    at, reach = 0, 0
     for m in CANDIDATE.finditer(text):
-        word = m[0].rstrip(".")
-        if len(word) < 12:
-            continue
-        if not word.isalpha() or not (word[1:].islower() or word.isupper()):
-            out.append((m.start(), m.start() + len(word)))
+        start, end = m.span()
+        free = []
+        while at < len(base) and base[at][0] < end:  # findings are in order of start
+            free.append((max(start, reach), base[at][0]))
+            reach = max(reach, base[at][2])
+            at += 1
+        free.append((max(start, reach), end))
+        for a, b in free:
+            word = text[a:b].rstrip(".") if b - a >= 12 else ""
+            if len(word) >= 12 and (not word.isalpha() or not (word[1:].islower() or word.isupper())):
+                out.append((a, a + len(word)))
     return out
 
 
-def encode(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
-    """Symbol codes of each span's window; symbols of the candidate itself count from SYMBOLS on."""
-    rows = np.zeros((len(spans), WIDTH), dtype=np.uint8)
-    for i, (start, end) in enumerate(spans):
-        lo = max(0, start - BEFORE)
-        part = np.frombuffer(text[lo : start + AFTER].encode("utf-32-le"), dtype=np.uint32)
-        codes = CODE[np.minimum(part, 127)]
-        at = BEFORE - (start - lo)
-        rows[i, at : at + len(part)] = codes
-        rows[i, BEFORE : BEFORE + min(end - start, AFTER)] += SYMBOLS
-    return rows
+def windows(start: int, end: int) -> range:
+    """Where the windows of a candidate start."""
+    more = max(0, end + AFTER - (start - BEFORE) - WIDTH)
+    return range(start - BEFORE, start - BEFORE - (-more // STRIDE) * STRIDE + 1, STRIDE)
+
 
+def encode(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbol codes of all spans' windows, and the first window of each span; symbols of the candidate count from SYMBOLS on."""
+    codes = CODE[np.minimum(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32), 127)]
+    padded = np.concatenate([np.zeros(BEFORE, np.uint8), codes, np.zeros(2 * WIDTH, np.uint8)])
+    starts = [windows(a, b) for a, b in spans]
+    per = np.fromiter(map(len, starts), np.int64, len(starts))
+    at = np.fromiter((w for ws in starts for w in ws), np.int64, int(per.sum()))
+    places = at[:, None] + np.arange(WIDTH)
+    rows = padded[places + BEFORE]
+    a, b = (np.repeat(np.fromiter(x, np.int64, len(spans)), per)[:, None] for x in zip(*spans, strict=True))
+    return rows + (SYMBOLS * ((places >= a) & (places < b))).astype(np.uint8), np.cumsum(per) - per
 
-def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np.ndarray]:
-    """n generated findings (text, start, end), about half of them secrets."""
+
+def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], list[tuple[int, int] | None]]:
+    """n generated findings (text, start, end), and where the secret of each about second one is."""
     r = random.Random(seed)
     hexa, upper, word62 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     parts = [a + b + c for a in ("", *"bcdfghjklmnpqrstvwxz", "ch", "sch", "th", "st", "wh") for b in ("a", "e", "i", "o", "u", "ie", "eau", "ou") for c in ("", "n", "r", "t", "s", "ng", "st", "nd", "tz", "x", "ch")]
@@ -96,18 +112,39 @@ def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np
         lambda: word(4, 7).upper() + r.choice(["", "."]), lambda: word(4, 7) + ".", lambda: word(4, 7).capitalize() + ".", lambda: word(4, 7).upper() + r.choice(["", "."]), lambda: word(2, 5) + r.choice("_-=/.+") + word(2, 5) + r.choice(["", "."]),
     )
     leads = ("key: ", "token = \"", "password=", "secret: ", "auth ", "Bearer ", "credential ", "")
-    texts, labels = [], np.zeros(n, dtype=np.float32)
+    path = lambda: r.choice(["", "/"]) + "".join(word(1, 4) + r.choice("//./-_") for _ in range(r.randint(1, 12)))
+    texts, places = [], []
     while len(texts) < n:
         yes = r.random() < 0.5
         value = r.choice(secrets if yes else plain)()
+        inner = (0, len(value))
+        if r.random() < 0.3:
+            head, tail = path(), r.choice(["", "", "/" + word(1, 3), "." + word(1, 2)])
+            value, inner = head + value + tail, (len(head), len(head) + len(value))
         if len(value) < 12:
             continue
         before = " ".join(word() for _ in range(r.randint(0, 5))) + " "
         lead = r.choice(leads) if r.random() < (0.5 if yes else 0.1) else r.choice(["", "@", "http:/", " "]) if not yes else ""
         text = before + lead
-        labels[len(texts)] = yes
-        texts.append((text + value + r.choice([" ", ". ", "\"", "\n"]) + word(), len(text), len(text) + len(value)))
-    return texts, labels
+        places.append((len(text) + inner[0], len(text) + inner[1]) if yes else None)
+        texts.append((text + value + r.choice([" ", ". ", "\"", "\n"]) + " ".join(word() for _ in range(r.randint(0, 3))), len(text), len(text) + len(value)))
+    return texts, places
+
+
+def training_windows(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of generated findings and their labels; those that show a part of a secret too short to be told are left out."""
+    xs, ys = [], []
+    for (text, start, end), secret in zip(*labelled_findings(n, seed), strict=True):
+        x, _ = encode(text, [(start, end)])
+        if secret is None:
+            seen, least = np.zeros(len(x)), 1
+        else:
+            seen = np.array([min(w + WIDTH, secret[1]) - max(w, secret[0]) for w in windows(start, end)])
+            least = min(16, seen.max())
+        told = (seen >= least) | (seen <= 0)
+        xs.append(x[told])
+        ys.append((seen >= least)[told])
+    return np.concatenate(xs), np.concatenate(ys).astype(np.float32)
 
 
 class Network:
@@ -161,45 +198,44 @@ class Network:
                     v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
                     self.p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
+    def calibrate(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
         """Platt scaling, then the largest threshold that keeps the share ``recall`` of the secrets."""
-        z, a, b = self.logits(x).astype(np.float64), 1.0, 0.0
+        z, a, b = np.maximum.reduceat(self.logits(x), first).astype(np.float64), 1.0, 0.0
         for _ in range(200):
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
             a -= 0.5 * float(((p - y) * z).mean() / max(1.0, float((z * z).mean())))
             b -= 0.5 * float((p - y).mean())
         self.scale, self.shift = a, b
-        good = np.sort(self.scores(x)[y == 1])
+        good = np.sort(self.scores(x, first)[y == 1])
         self.threshold = float(good[int((1 - recall) * len(good))])
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x) + self.shift, -30, 30)))
+    def scores(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The score of each candidate: windows x, of which a candidate's first is one of ``first``."""
+        return 1 / (1 + np.exp(-np.clip(self.scale * np.maximum.reduceat(self.logits(x), first) + self.shift, -30, 30)))
+
+
+def encode_findings(found: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    xs = [encode(t, [(a, b)])[0] for t, a, b in found]
+    return np.concatenate(xs), np.cumsum([0, *map(len, xs[:-1])])
 
 
 @lru_cache(maxsize=1)
 def trained() -> Network:
     """The network fitted to 12,000 generated findings and calibrated on 4,000 others."""
     net = Network()
-    texts, y = labelled_findings(12000, 11)
-    net.fit(np.concatenate([encode(t, [(a, b)]) for t, a, b in texts]), y)
-    texts, y = labelled_findings(4000, 12)
-    net.calibrate(np.concatenate([encode(t, [(a, b)]) for t, a, b in texts]), y)
+    net.fit(*training_windows(12000, 11))
+    found, places = labelled_findings(4000, 12)
+    net.calibrate(*encode_findings(found), np.array([p is not None for p in places], dtype=np.float32))
     return net
 
 
 def scan(text: str, net: Network) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
     """Base findings, and the spans that the network adds."""
     base = base_findings(text)
-    spans = []
-    at = 0
-    for start, end in candidates(text):
-        while at < len(base) and base[at][2] <= start:
-            at += 1
-        if not any(b[0] < end and b[2] > start for b in base[max(0, at - 3) : at + 3]):
-            spans.append((start, end))
+    spans = candidates(text, base)
     if not spans:
         return base, []
-    keep = net.scores(encode(text, spans)) >= net.threshold
+    keep = net.scores(*encode(text, spans)) >= net.threshold
     return base, [s for s, k in zip(spans, keep.tolist(), strict=True) if k]
 
 
