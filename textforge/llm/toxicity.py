@@ -1,15 +1,19 @@
 """Toxicity by weak supervision.
 
-1. Mining: a bounded sample of labelled rows (SAMPLE) gives features (words and word starts) that go with either label.
-2. Voters: lexicons (mined features in LEXICONS groups, and a short fixed list) vote toxic where they hit; patterns vote; a
-   document without any hit gets votes for clean.
-3. Label model: each voter votes toxic, clean or abstains with probabilities that depend on the hidden label.  These
-   (its accuracy) and the base rate are estimated by expectation maximisation; voters whose votes still go together given
-   the label share their evidence in proportion to that correlation.
-4. A logistic regression on selected features is fitted to the label model's posteriors.
+1. Voters.  Some know nothing of the labels: lexicons of common insults by theme and language, and patterns (capitals, runs of
+   punctuation, masked words, insults that address someone or come twice, and so on).  Others are lexicons mined from a bounded
+   sample (SAMPLE) of labelled rows: words and word starts that go with the label, grouped by the rows they occur in.  The
+   label that annotators gave a row of the sample is one more vote.  Each voter votes toxic or clean, or abstains; how far it's
+   right, if at all, is for the label model to find out.
+2. Label model: the label is hidden; each voter's vote depends on it and on the vote of at most one other voter.  Those pairs are the
+   tree of greatest conditional mutual information (correlations), and all probabilities (accuracies and correlations) are estimated
+   together by expectation maximisation.
+3. A logistic regression on selected features is fitted to the label model's posteriors.
 
 A score is the regression's probability; it uses the text alone.  Null and empty texts have no feature and get the
-intercept's score.  Without labelled rows every score is 0.  Repeated labels of one doc_id count once, as their largest.
+intercept's score; texts are read whole whatever their length; rows that repeat have one result each.  Without labelled rows, or with one
+label only, every score is 0.  Repeated labels of one doc_id count once, as their largest; null ids are never learnt from.  An empty
+table gives no row; a kept column named score is replaced.
 """
 
 from __future__ import annotations
@@ -27,20 +31,44 @@ from pyspark.sql import types as T
 from .bpe import slices
 
 SAMPLE = 8000
-SPACE = 1 << 20
 LEXICONS = 12
 #: Standard deviations by which a feature must go with a label: beyond what chance gives any of the features of a sample.
 SURE = 8.0
 WORD = re.compile(r"\w+")
-#: Common insults, as one voter's lexicon.
-INSULTS = "idiot idiots moron morons stupid scum trash loser losers worthless pathetic disgusting clown fool imbecile dumb jerk".split()
+#: Common insults by theme and language, each line a voter's lexicon.
+LEXICA = {
+    "stupidity": "idiot idiots idiotic moron morons moronic stupid dumb imbecile fool fools dimwit halfwit brainless",
+    "ridicule": "clown clowns joke laughable ridiculous buffoon jerk jerks dork",
+    "worth": "worthless useless pathetic loser losers failure nobody pitiful",
+    "filth": "trash garbage scum filth filthy vermin sewage dirt",
+    "disgust": "disgusting revolting vile repulsive nasty gross sickening",
+    "malice": "hate hateful despise liar liars coward cowards traitor bastard bastards",
+    "threat": "kill killed destroy burn suffer beat punish",
+    "german": "idiot dummkopf trottel arschloch versager abschaum ekelhaft widerlich schwachkopf",
+    "french": "idiot imb\u00e9cile cr\u00e9tin connard d\u00e9bile minable ordure d\u00e9go\u00fbtant",
+    "spanish": "idiota imb\u00e9cil est\u00fapido tonto basura in\u00fatil asqueroso perdedor",
+}
+INSULTS = sorted({w for name in ("stupidity", "ridicule", "worth", "filth", "disgust", "malice") for w in LEXICA[name].split()})
+INSULT = re.compile(rf"\b(?:{'|'.join(INSULTS)})\b", re.I)
+ADDRESS = re.compile(rf"\b(?:you|your|he|she|they|this|what an?)\b(?:\W+\w+){{0,3}}?\W+(?:{'|'.join(INSULTS)})\b", re.I)
+MASKED = re.compile(r"\w[*#@$]{2,}\w")
+STRETCHED = re.compile(r"([^\W\d_])\1{3,}")
+PATTERNS = ("capitals", "exclamation", "masked", "stretched", "addressed", "insulted twice", "many different words", "figures")
+#: The first patterns vote toxic, the others clean.
+QUIET = 6
+#: Conditional mutual information of all rows together, in nats, from which two voters count as dependent: chance gives about 4.
+LINK = 40.0
+#: Shares of right votes that are expected of toxic and clean votes.
+PRIOR, CLEAN = 0.85, 0.97
+#: Votes that the expectation counts for, as a share of a voter's own.
+WEIGHT = 0.1
 MEMO = 150_000
 
 
 def features(word: str) -> tuple[int, ...]:
     """Feature numbers of a word: itself and its first five characters."""
-    w = zlib.crc32(b"w" + word.encode()) % SPACE
-    return (w, zlib.crc32(b"p" + word[:5].encode()) % SPACE) if len(word) > 5 else (w,)
+    w = zlib.crc32(b"w" + word.encode())
+    return (w, zlib.crc32(b"p" + word[:5].encode())) if len(word) > 5 else (w,)
 
 
 def words(text: str) -> set[str]:
@@ -57,13 +85,24 @@ def feature_set(text: str, memo: dict[str, tuple[int, ...]]) -> np.ndarray:
         if ids is None:
             ids = memo[w] = features(w)
         out.update(ids)
-    return np.fromiter(out, dtype=np.int32, count=len(out))
+    return np.fromiter(out, dtype=np.uint32, count=len(out))
 
 
-def shouting(text: str) -> bool:
-    """Whether most characters are capital letters (a pattern voter)."""
+def patterns(text: str, distinct: int) -> int:
+    """A bit for each of PATTERNS that a text has; ``distinct`` is the number of its different words."""
     upper = sum(map(str.isupper, text))
-    return upper * 2 > len(text) > 40
+    insults = [w.lower() for w in INSULT.findall(text)]
+    found = (
+        upper * 2 > len(text) > 40,
+        "!!" in text or "?!" in text,
+        MASKED.search(text) is not None,
+        STRETCHED.search(text) is not None,
+        bool(insults) and ADDRESS.search(text) is not None,
+        len(insults) > len(set(insults)),
+        distinct > 200,
+        sum(map(str.isdigit, text)) * 50 > len(text),
+    )
+    return sum(1 << i for i, x in enumerate(found) if x)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -76,7 +115,7 @@ class Model:
     weights: dict[int, float] = field(default_factory=dict)
     voters: list[str] = field(default_factory=list)
     accuracy: np.ndarray | None = None
-    correlation: np.ndarray | None = None
+    parents: list[int] = field(default_factory=list)
 
     def scorer(self):
         memo: dict[str, float] = {}
@@ -96,37 +135,91 @@ class Model:
         return score
 
 
-def label_model(votes: np.ndarray, rounds: int = 40, base: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posteriors of the label 1, each voter's vote probabilities [voter, label, vote], and residual correlations.
-
-    votes: [row, voter], -1 clean, 0 abstain, 1 toxic.
+def pair_tables(hot: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted counts [label, voter, voter, vote, vote]."""
+    n, m, v = hot.shape
+    flat = hot.reshape(n, m * v)
+    return np.stack([(flat * weight[:, y : y + 1]).T @ flat for y in (0, 1)]).reshape(2, m, v, m, v).transpose(0, 1, 3, 2, 4)
+
+
+def dependences(pairs: np.ndarray) -> list[int]:
+    """The parent of each voter, -1 for none: the tree of greatest conditional mutual information, without its weak links."""
+    joint = pairs + 1e-9
+    joint = joint / joint.sum(axis=(0, 3, 4), keepdims=True)
+    of_y = joint.sum(axis=(3, 4), keepdims=True)
+    info = (joint * np.log(joint * of_y / (joint.sum(axis=4, keepdims=True) * joint.sum(axis=3, keepdims=True)))).sum(axis=(0, 3, 4))
+    m = len(info)
+    parent, best, of, left = [-1] * m, np.full(m, -1.0), np.full(m, -1), set(range(1, m))
+    last = 0
+    while left:
+        for j in left:
+            if info[last, j] > best[j]:
+                best[j], of[j] = info[last, j], last
+        last = max(left, key=lambda j: best[j])
+        left.remove(last)
+        if best[last] * pairs.sum() / m**2 > LINK:
+            parent[last] = int(of[last])
+    return parent
+
+
+def label_model(votes: np.ndarray, rounds: int = 60, base: float = 0.1) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
+    """Posteriors of the label 1, each voter's vote probabilities [voter, label, vote], its parent, and these given the parent's vote.
+
+    votes: [row, voter], -1 clean, 0 abstain, 1 toxic.  Whether a voter abstains says nothing about the label.  A prior, of WEIGHT
+    times the votes themselves, has each voter right in the share PRIOR of its toxic votes and CLEAN of its clean ones, so that one
+    which no other ever meets isn't taken for noise.  The base rate is that of the sample's labels.  The last result is [voter, label, parent's vote, vote].
     """
     n, m = votes.shape
     hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(np.float64)
     total = votes.sum(axis=1)
     post = np.where(total > 0, 0.9, np.where(total < 0, 0.02, base))
-    share = np.ones(m)
-    corr = np.zeros((m, m))
+    parent = [-1] * m
+    code = votes + 1
+    right = np.array([[CLEAN, 1 - base, 1 - PRIOR], [1 - CLEAN, base, PRIOR]])  # [label, vote]
     for step in range(rounds):
         weight = np.stack([1 - post, post], axis=1)
-        table = np.einsum("ny,nmv->myv", weight, hot) + 0.5
-        table /= table.sum(axis=2, keepdims=True)
-        rate = np.clip(post.mean(), 1e-3, 0.999)
-        if step in (10, 20):
-            expect = np.einsum("ny,myv,v->nm", weight, table, np.array([-1.0, 0.0, 1.0]))
-            rest = votes - expect
-            scale = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-            corr = (rest.T @ rest) / n / np.outer(scale, scale)
-            np.fill_diagonal(corr, 0)
-            share = 1 / (1 + np.where(np.abs(corr) > 0.2, np.abs(corr), 0).sum(axis=1))
-        odds = np.log(table[:, 1, :]) - np.log(table[:, 0, :])
-        logit = np.log(rate / (1 - rate)) + np.einsum("nmv,mv,m->n", hot, odds, share)
+        pairs = pair_tables(hot, weight)
+        if step in (5, 15, 30):
+            parent = dependences(pairs)
+        logit = np.full(n, np.log(base / (1 - base)))
+        alone, given = np.zeros((m, 2, 3)), np.zeros((m, 2, 3, 3))
+        for j, k in enumerate(parent):
+            own = pairs[:, j, j].diagonal(axis1=1, axis2=2)
+            own = own + WEIGHT * right * own.sum(axis=0) + 0.5
+            alone[j] = own / own.sum(axis=1, keepdims=True)
+            if k >= 0:
+                counts = pairs[:, k, j] + WEIGHT * right[:, None] * pairs[:, k, j].sum(axis=0)
+            else:
+                counts = np.repeat(own[:, None], 3, axis=1)
+            # Votes that hardly occur beside a parent's vote fall back on the voter's own share.
+            counts = counts + 3 * alone[j][:, None]
+            given[j] = counts / counts.sum(axis=2, keepdims=True)
+            odds = np.log(given[j, 1]) - np.log(given[j, 0])
+            odds[:, 1] = 0
+            logit += odds[code[:, k] if k >= 0 else 0, code[:, j]]
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if np.abs(new - post).max() < 1e-6 and step > 20:
-            post = new
+        moved, post = np.abs(new - post).max(), new
+        if moved < 1e-6 and step > 30:
             break
-        post = new
-    return post, table, corr
+    return post, alone, parent, given
+
+
+def grouped(sets: list[np.ndarray], found: np.ndarray, groups: int) -> list[np.ndarray]:
+    """Mined features in groups that occur in the same rows: each goes with the seed it meets most often, seeds that meet least."""
+    if not len(found):
+        return []
+    place = {int(f): i for i, f in enumerate(found)}
+    met = np.zeros((len(found), len(found)))
+    for ids in sets:
+        here = [place[i] for i in ids.tolist() if i in place]
+        met[np.ix_(here, here)] += 1
+    share = met / np.sqrt(np.outer(met.diagonal(), met.diagonal()))
+    seeds = [int(np.argmax(met.diagonal()))]
+    while len(seeds) < min(groups, len(found)):
+        seeds.append(int(np.argmax(met.diagonal() * (1 - share[seeds].max(axis=0)) * ~np.isin(np.arange(len(found)), seeds))))
+    of = share[seeds].argmax(axis=0)
+    of[seeds] = np.arange(len(seeds))
+    return [found[of == k] for k in range(len(seeds))]
 
 
 def without_copies(sets: list[np.ndarray], views: int = 8, size: int = 3) -> list[int]:
@@ -153,45 +246,41 @@ def without_copies(sets: list[np.ndarray], views: int = 8, size: int = 3) -> lis
     return kept
 
 
-def fit(sets: list[np.ndarray], shouts: np.ndarray, labels: np.ndarray) -> Model:
-    """The model from feature sets and labels of the sample's rows."""
+def fit(sets: list[np.ndarray], marks: np.ndarray, labels: np.ndarray) -> Model:
+    """The model from feature sets, bits of PATTERNS and labels of the sample's rows."""
     kept = without_copies(sets)
-    sets, shouts, labels = [sets[i] for i in kept], shouts[kept], labels[kept]
+    sets, marks, labels = [sets[i] for i in kept], marks[kept], labels[kept]
     n = len(sets)
     if not n or labels.min() == labels.max():
         return Model()
     rows = np.repeat(np.arange(n), [len(s) for s in sets])
-    ids = np.concatenate(sets)
-    toxic = np.bincount(ids, weights=labels[rows], minlength=SPACE)
-    every = np.bincount(ids, minlength=SPACE)
+    known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    toxic = np.bincount(ids, weights=labels[rows], minlength=len(known))
+    every = np.bincount(ids, minlength=len(known))
     rate, n1 = labels.mean(), labels.sum()
     z = (toxic - every * rate) / np.sqrt(np.maximum(every * rate * (1 - rate), 1e-9))
     sure = np.flatnonzero((every >= 8) & (toxic >= 0.7 * every) & (z > SURE))
     clean = np.flatnonzero((every >= 20) & (z < -4) & (toxic < 0.5 * rate * every))
     chosen = np.flatnonzero((every >= 8) & (np.abs(z) > SURE))
 
-    def hits(features_: np.ndarray) -> np.ndarray:
-        mark = np.zeros(SPACE, bool)
-        mark[features_] = True
-        return np.bincount(rows[mark[ids]], minlength=n) > 0
-
-    columns, names = [], []
-    for k in range(LEXICONS):
-        columns.append(np.where(hits(sure[k::LEXICONS]), 1, 0))
-        names.append(f"mined lexicon {k}")
-    columns.append(np.where(hits(np.array([features(w)[0] for w in INSULTS])), 1, 0))
-    names.append("insults")
-    columns.append(np.where(shouts, -1, 0))
-    names.append("shouting")
-    any_hit = hits(sure)
-    columns.append(np.where(any_hit, 0, -1))
-    names.append("no mined word")
-    columns.append(np.where(hits(clean) & ~any_hit, -1, 0))
-    names.append("clean words")
-    votes = np.stack(columns, axis=1)
-    post, table, corr = label_model(votes, base=float(rate))
-
-    place = np.full(SPACE, -1)
+    def hits(of: np.ndarray) -> np.ndarray:
+        return np.bincount(rows[np.isin(known, of)[ids]], minlength=n) > 0
+
+    voters: dict[str, np.ndarray] = {}
+    for name, lexicon in LEXICA.items():
+        voters[f"lexicon {name}"] = np.where(hits(np.array([features(w)[0] for w in lexicon.split()])), 1, 0)
+    for i, name in enumerate(PATTERNS):
+        voters[f"pattern {name}"] = np.where(marks >> i & 1, 1 if i < QUIET else -1, 0)
+    for k, lexicon in enumerate(grouped(sets, known[sure], LEXICONS)):
+        voters[f"mined lexicon {k}"] = np.where(hits(lexicon), 1, 0)
+    voters["no mined word"] = np.where(hits(known[sure]), 0, -1)
+    voters["clean words"] = np.where(hits(known[clean]), -1, 0)
+    voters["annotation"] = np.where(labels > 0, 1, -1)
+    votes = np.stack(list(voters.values()), axis=1)
+    post, table, parent, _ = label_model(votes, base=float(rate))
+    names = list(voters)
+
+    place = np.full(len(known), -1)
     place[chosen] = np.arange(len(chosen))
     keep = place[ids] >= 0
     r, c = rows[keep], place[ids[keep]]
@@ -206,7 +295,7 @@ def fit(sets: list[np.ndarray], shouts: np.ndarray, labels: np.ndarray) -> Model
         gb += db**2
         w -= 0.5 * dw / np.sqrt(gw)
         b -= 0.5 * db / np.sqrt(gb)
-    return Model(float(b), {int(i): float(x) for i, x in zip(chosen, w, strict=True)}, names, table, corr)
+    return Model(float(b), {int(i): float(x) for i, x in zip(known[chosen], w, strict=True)}, names, table, parent)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -225,16 +314,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         memo: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             for lo, texts in slices(batch, "__tf_text"):
+                sets = [feature_set(t, memo) for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, len(texts)), pa.array([feature_set(t, memo).tobytes() for t in texts], pa.binary()), pa.array([shouting(t) for t in texts], pa.bool_())],
-                    names=["label", "ids", "shouts"],
+                    [batch.column(0).slice(lo, len(texts)), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([patterns(t, len(x)) for t, x in zip(texts, sets, strict=True)], pa.int32())],
+                    names=["label", "ids", "marks"],
                 )
 
-    found = rows.mapInArrow(run, "label int, ids binary, shouts boolean").toArrow()
+    found = rows.mapInArrow(run, "label int, ids binary, marks int").toArrow()
     order = np.argsort([zlib.crc32(x) for x in found["ids"].to_pylist()], kind="stable") if len(found) else []
-    sets = [np.frombuffer(x, np.int32) for x in found["ids"].to_pylist()]
-    y, shouts = np.array(found["label"].to_pylist(), dtype=float), np.array(found["shouts"].to_pylist(), dtype=bool)
-    return fit([sets[i] for i in order], shouts[order], y[order]) if len(found) else Model()
+    sets = [np.frombuffer(x, np.uint32) for x in found["ids"].to_pylist()]
+    y, marks = np.array(found["label"].to_pylist(), dtype=float), np.array(found["marks"].to_pylist(), dtype=np.int64)
+    return fit([sets[i] for i in order], marks[order], y[order]) if len(found) else Model()
 
 
 def add_score(df: DataFrame, model: Model, keep: list[str]) -> DataFrame:
