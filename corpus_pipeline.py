@@ -33,9 +33,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     ship(spark)
-    times = mixing.mix(docs).where("times > 0").select("doc_id", "times")
-    rows = docs.join(times.withColumnRenamed("doc_id", "__tf_id"), F.col("doc_id").eqNullSafe(F.col("__tf_id")))
-    return rows.withColumn("__tf_copy", F.explode(F.expr("sequence(1, times)"))).select(*docs.columns)
+    return mixing.take(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
