@@ -181,8 +181,9 @@ def test_secrets(docs):
     assert secret_scan.base_findings("token=secret=abcdefghijkl") == [(0, 0, 25)]
     assert secret_scan.base_findings("token=password: abcdefghijklmn") == []
     net = secret_scan.trained()
-    texts, y = secret_scan.labelled_findings(1000, 77)
-    hit = net.scores(np.concatenate([secret_scan.encode(t, [(a, b)]) for t, a, b in texts])) >= net.threshold
+    texts, places = secret_scan.labelled_findings(1000, 77)
+    y = np.array([int(p is not None) for p in places])
+    hit = net.scores(*secret_scan.encode_findings(texts)) >= net.threshold
     assert hit[y == 1].mean() > 0.95 and hit[y == 0].mean() < 0.02
     rows = secret_scan.add_secrets(docs, ["doc_id"], net).collect()
     assert {r.base_sha256 for r in rows} == {hashlib.sha256(b"").hexdigest()}
@@ -353,7 +354,7 @@ def test_label_model():
     rng = np.random.default_rng(5)
     y = rng.random(3000) < 0.3
     votes = np.stack([np.where(rng.random(3000) < p, np.where(rng.random(3000) < a, y, ~y) * 2 - 1, 0) for p, a in ((0.9, 0.9), (0.8, 0.8), (0.7, 0.7), (0.9, 0.85))], axis=1)
-    post, table, corr = toxicity.label_model(votes, base=0.3)
+    post, table, _, _ = toxicity.label_model(votes, base=0.3)
     assert ((post > 0.5) == y).mean() > 0.9
     copied = np.concatenate([votes, votes[:, :1]], axis=1)
     assert toxicity.label_model(copied, base=0.3)[2][0, 4] > 0.5
