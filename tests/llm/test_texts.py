@@ -357,4 +357,5 @@ def test_label_model():
     post, table, _, _ = toxicity.label_model(votes, base=0.3)
     assert ((post > 0.5) == y).mean() > 0.9
     copied = np.concatenate([votes, votes[:, :1]], axis=1)
-    assert toxicity.label_model(copied, base=0.3)[2][0, 4] > 0.5
+    parent = toxicity.label_model(copied, base=0.3)[2]
+    assert parent[4] == 0 or parent[0] == 4

@@ -96,7 +96,11 @@ def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], li
     def of(chars: str, a: int, b: int) -> str:
         return "".join(r.choice(chars) for _ in range(r.randint(a, b)))
 
+    common = "config settings readme index keys key token secret data lib var usr src main test docs images static file name path page list user admin before after long of the and http www html json xml".split()
+
     def word(a: int = 1, b: int = 4) -> str:
+        if r.random() < 0.2:
+            return r.choice(common)
         return "".join(r.choice(parts) for _ in range(r.randint(a, b)))
 
     secrets = (
