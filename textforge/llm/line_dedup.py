@@ -12,8 +12,9 @@ window of LONG words the one of the smallest hash, which equal windows choose al
    is compared there, byte for byte, and widened on both sides as far as the texts are equal.  A chunk is cut as it is widened,
    an anchor if LONG words are equal.  Only the part of the first document's text up to the next anchors on both
    sides travels to the other; where texts are equal up to an end of it, step 2 compares them whole.
-2. An anchor that isn't cut may still be in a passage that stands elsewhere than in the anchor's first place: the windows that
-   chose it are hashed whole and compared in the same way.
+2. An anchor that isn't cut may still be in a passage that stands elsewhere than in the anchor's first place, if it stands in three
+   places or more: it's widened by half of what LONG words need, to either side, and such runs are counted and compared
+   in the same way; then those that are left by the other half, in all windows of LONG words.
 3. Spans of a document are merged and cut from its text; ``n_chars`` follows.
 
 Only what stands in the text of a lower (doc_id, place) is cut, so one copy of it always stays.  Chunks of one hot
@@ -25,6 +26,8 @@ beside doc_id and text pass through, whatever their names but ``removed_chars``,
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -113,7 +116,10 @@ class Runs:
         least = np.where(self.windows(), _sliding(grams, n, np.minimum), np.uint64(0))
         if not len(least):
             return np.zeros(0, np.int64), grams[:0]
-        at = np.flatnonzero((_sliding(np.concatenate([ends, least, ends]), n, np.maximum) == grams) & whole)
+        chosen = (_sliding(np.concatenate([ends, least, ends]), n, np.maximum) == grams) & whole
+        # Of neighbours with one hash (a word over and over) the first and the last will do.
+        same = np.append(False, grams[1:] == grams[:-1])
+        at = np.flatnonzero(chosen & ~(same & np.append(same[1:], False)))
         return at, grams[at]
 
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
@@ -155,16 +161,18 @@ class Runs:
         hi = np.minimum(end, np.append(right, len(self.codes))[np.searchsorted(right, b, side="right")])
         return {"doc": doc, "a": a - base, "b": b - base, "c": c.view(np.int64), "lo": lo - base, "hi": hi - base}
 
-    def windows_of(self, chars: list[int]) -> list[tuple[int, int, int]]:
-        """(start, end, hash) of the windows of LONG words whose anchor starts at one of ``chars``, of a single text."""
-        grams, _ = self.grams()
-        n = LONG - GRAM + 1
-        if len(grams) < n:
-            return []
-        least = np.lib.stride_tricks.sliding_window_view(grams, n).argmin(axis=1) + np.arange(len(grams) - n + 1)
-        first = np.flatnonzero(np.isin(self.starts[least], chars))
-        h = self.hashes(first, first + (LONG - 1)) & ~np.uint64(1)
-        return list(zip(self.starts[first].tolist(), self.ends[first + (LONG - 1)].tolist(), h.view(np.int64).tolist(), strict=True))
+    def around(self, chars: list[int], words: int, more: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of ``words`` + ``more`` words of a single text that hold the run of ``words`` words at each of ``chars``.
+
+        These are the one that begins with it and the one that ends with it, or, if that makes LONG words, all.  Returns which of
+        ``chars`` each belongs to, its first word, and its last one.
+        """
+        at = np.searchsorted(self.starts, chars)
+        steps = np.arange(-more, 1) if words + more == LONG else np.array([-more, 0])
+        first = (at[:, None] + steps).reshape(-1)
+        of = np.repeat(np.arange(len(at)), len(steps))
+        inside = (first >= 0) & (first + words + more <= len(self.starts))
+        return of[inside], first[inside], first[inside] + words + more - 1
 
 
 def _keys(docs: DataFrame) -> DataFrame:
@@ -226,76 +234,82 @@ def widened(x: str, a: int, b: int, y: str, at: int) -> tuple[int, int, bool, bo
     return a - n, b + m, left, right
 
 
-def compare(x: str, part: str, at: int, whole: int, shift: int, places: list[tuple[int, int, bool]]) -> tuple[set[tuple[int, int]], set[int], set[tuple[int, int, bool]]]:
-    """Places (a, b, is a chunk) of x against a text of ``whole`` characters, of which ``part`` starts at ``at``; x[i] meets its i - shift.
+def compare(x: str, part: str, at: int, whole: int, shift: int, places: list[tuple[int, int, bool, bool]]) -> tuple[set, dict, set]:
+    """Places (a, b, is a chunk, stands in three places or more) of x against a text of ``whole`` characters, of which ``part``
+    starts at ``at``; x[i] meets its i - shift.
 
-    Returns the spans to cut, the starts of anchors that aren't in one, and the places whose equal texts reach past ``part``.
+    Returns the spans to cut, whether anchors of three places or more are in one, and the places whose equal texts reach past ``part``.
     """
     cut: set[tuple[int, int]] = set()
-    alone: set[int] = set()
+    anchors: dict[int, bool] = {}
     open_: set[tuple[int, int, bool]] = set()
     last = (0, -1, False, False)  # the last equal span, whether it's long, and whether it goes on past part
-    for a, b, chunk in sorted(places):
-        if not (last[0] <= a and b <= last[1]):
+    for a, b, chunk, many in sorted(places):
+        met = last[0] <= a and b <= last[1]
+        if not met:
             i = a - shift - at
-            if x[a:b] != part[i : i + b - a]:
-                if not chunk:
-                    alone.add(a)
-                continue
-            lo, hi, left, right = widened(x, a, b, part, i)
-            more = (left and lo > 0 and at > 0) or (right and hi < len(x) and at + len(part) < whole)
-            last = lo, hi, len(x[lo:hi].split(None, LONG - 1)) == LONG, more
-            if more:
-                open_.add((a, b, chunk))
-        if chunk or last[2]:
+            met = x[a:b] == part[i : i + b - a]
+            if met:
+                lo, hi, left, right = widened(x, a, b, part, i)
+                more = (left and lo > 0 and at > 0) or (right and hi < len(x) and at + len(part) < whole)
+                last = lo, hi, len(x[lo:hi].split(None, LONG - 1)) == LONG, more
+                if more:
+                    open_.add((a, b, chunk))
+        if met and (chunk or last[2]):
             cut.add(last[:2])
-        elif not last[3]:
-            alone.add(a)
-    return cut, alone, open_
+        if many and not chunk:
+            anchors[a] = met and (last[2] or last[3])
+    return cut, anchors, open_
 
 
 def _pairs(found: DataFrame) -> DataFrame:
-    """The places of repeated hashes but the first ones: d, h, d2, h2 (the first one's document), shift, places, lo, hi."""
+    """The places of repeated hashes but the first ones and those that are done: d, h, d2, h2 (the first one's document), shift, places, lo, hi."""
     # As tables of their own, hashes and first places are shuffled for the joins, and Spark can split a hot hash over tasks.
-    several, several_path = keep(found.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c"), "repeated-hashes")
+    several, several_path = keep(found.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c", (F.col("n") > 2).alias("many")), "repeated-hashes")
     again, again_path = keep(found.join(several, "c"), "repeated")
     first, first_path = keep(again.groupBy("c").agg(F.min(F.struct("d", "h", "a")).alias("f")), "first-places")
-    pairs = again.join(first, "c").where(~((F.col("d") == F.col("f.d")) & (F.col("h") == F.col("f.h")) & (F.col("a") == F.col("f.a"))))
-    place = F.struct("a", "b", (F.col("c") % 2 != 0).alias("chunk"))
+    pairs = again.where("NOT done").join(first, "c").where(~((F.col("d") == F.col("f.d")) & (F.col("h") == F.col("f.h")) & (F.col("a") == F.col("f.a"))))
+    place = F.struct("a", "b", (F.col("c") % 2 != 0).alias("chunk"), "many")
     shift = (F.col("a") - F.col("f.a")).alias("shift")
     pairs, _ = keep(pairs.groupBy("d", "h", F.col("f.d").alias("d2"), F.col("f.h").alias("h2"), shift).agg(F.collect_set(place).alias("places"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "pairs")
     drop(found.sparkSession, several_path, again_path, first_path)
     return pairs
 
 
-SPANS = "d long, h long, a int, b int, c long, d2 long, h2 long, shift int, chunk boolean"
+SPANS = "d long, h long, a int, b int, c long, done boolean, d2 long, h2 long, shift int, chunk boolean"
 
 
-def _spans(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    """Spans to cut (c and d2 are null), windows of hash c whose anchors aren't in one, and places to compare whole (d2 and so on)."""
+def _spans(pairs: DataFrame, texts: DataFrame, name: str, words: int, more: int) -> DataFrame:
+    """Spans to cut (c and d2 are null), places to compare whole (d2 and so on), and runs of ``words`` + ``more`` words (hash c)
+    around the anchors, of ``words`` words, that stand in three places or more; they're done if the anchor is in a span."""
 
     def run(batches):
         for batch in batches:
             out = []
             d, h, x, met = batch.columns
             for i in range(batch.num_rows):
-                k, text, alone = (d[i].as_py(), h[i].as_py()), x[i].as_py(), set()
+                k, text = (d[i].as_py(), h[i].as_py()), x[i].as_py()
+                anchors: dict[int, bool] = {}
                 for m in met[i].as_py():
-                    cut, lone, more = compare(text, m["part"], m["at"], m["whole"], m["shift"], [(p["a"], p["b"], p["chunk"]) for p in m["places"]])
-                    alone |= lone
-                    out += [(*k, a, b, None, None, None, None, None) for a, b in cut]
-                    out += [(*k, a, b, None, m["d2"], m["h2"], m["shift"], chunk) for a, b, chunk in more]
-                if alone:
-                    out += [(*k, a, b, c, None, None, None, None) for a, b, c in Runs([text]).windows_of(list(alone))]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 9
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["d", "h", "a", "b", "c", "d2", "h2", "shift", "chunk"])
+                    cut, some, open_ = compare(text, m["part"], m["at"], m["whole"], m["shift"], [(p["a"], p["b"], p["chunk"], p["many"]) for p in m["places"]])
+                    for a, done in some.items():
+                        anchors[a] = anchors.get(a, False) or done
+                    out += [(*k, a, b, None, None, None, None, None, None) for a, b in cut]
+                    out += [(*k, a, b, None, None, m["d2"], m["h2"], m["shift"], chunk) for a, b, chunk in open_]
+                if anchors and more:
+                    runs, chars = Runs([text]), sorted(anchors)
+                    of, first, last = runs.around(chars, words, more)
+                    c = (runs.hashes(first, last) & ~np.uint64(1)).view(np.int64)
+                    for j, a, b, x_ in zip(of.tolist(), runs.starts[first].tolist(), runs.ends[last].tolist(), c.tolist(), strict=True):
+                        out.append((*k, a, b, x_, anchors[chars[j]], None, None, None, None))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 10
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["d", "h", "a", "b", "c", "done", "d2", "h2", "shift", "chunk"])
 
     # A first document that many others meet has its text sent in copies, one for each MEET of them.
-    hot = pairs.groupBy("d2", "h2").agg(F.count(F.lit(1)).alias("n")).select("d2", "h2", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / MEET))).alias("salt"), F.floor(F.col("n") / MEET).alias("top"))
-    other = hot.join(texts.select(F.col("__tf_d").alias("d2"), F.col("__tf_h").alias("h2"), "text"), ["d2", "h2"])
-    tops = hot.where("salt = 0 AND top > 0").select("d2", "h2", "top")
-    salted = pairs.join(tops, ["d2", "h2"], "left").withColumn("salt", F.pmod(F.xxhash64("d", "h", "shift"), F.coalesce("top", F.lit(0)) + 1)).drop("top")
+    hot = pairs.groupBy("d2", "h2").agg(F.floor(F.count(F.lit(1)) / MEET).alias("top"))
+    other = hot.join(texts.select(F.col("__tf_d").alias("d2"), F.col("__tf_h").alias("h2"), "text"), ["d2", "h2"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), "top")))
+    salted = pairs.join(hot.where("top > 0"), ["d2", "h2"], "left").withColumn("salt", F.pmod(F.xxhash64("d", "h", "shift"), F.coalesce("top", F.lit(0)) + 1)).drop("top")
     at = F.greatest(F.col("lo") - F.col("shift"), F.lit(0))
     end = F.least(F.col("hi").cast("long") - F.col("shift"), F.length("text")).cast("int")
     part = F.substring("text", at + 1, F.greatest(end - at, F.lit(0)))
@@ -335,20 +349,24 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     columns = [c for c in docs.columns if c != "removed_chars"]
     keyed = _keys(docs.select(*columns))
     texts = keyed.where("text IS NOT NULL").select("__tf_d", "__tf_h", F.col("text").cast("string").alias("text")).dropDuplicates(["__tf_d", "__tf_h"])
-    found, found_path = keep(_places(keyed), "places")
-    pairs = _pairs(found)
-    drop(spark, found_path)
-    release(spark)
-    spans = _spans(pairs, texts, "spans")
-    release(spark)
-    left = spans.where("c IS NOT NULL OR d2 IS NOT NULL")
-    if not left.isEmpty():
-        end = F.lit(2**31 - 1)
-        more = _pairs(left.where("c IS NOT NULL").select("d", "h", "a", "b", "c", F.lit(0).alias("lo"), end.alias("hi")))
-        open_ = left.where("d2 IS NOT NULL").groupBy("d", "h", "d2", "h2", "shift").agg(F.collect_set(F.struct("a", "b", "chunk")).alias("places"), F.lit(0).alias("lo"), end.alias("hi"))
-        spans = spans.union(_spans(more.unionByName(open_), texts, "more-spans"))
+    found, found_path = keep(_places(keyed).withColumn("done", F.lit(False)), "places")
+    spans, words, some = [], GRAM, found
+    end = F.lit(2**31 - 1)
+    for more in (LONG - GRAM) // 2, LONG - GRAM - (LONG - GRAM) // 2, 0:
+        pairs = _pairs(some)
+        if spans:  # texts that are equal as far as they were compared
+            open_ = spans[-1].where("d2 IS NOT NULL").groupBy("d", "h", "d2", "h2", "shift").agg(F.collect_set(F.struct("a", "b", "chunk", F.lit(False).alias("many"))).alias("places"), F.lit(0).alias("lo"), end.alias("hi"))
+            pairs = pairs.unionByName(open_)
+        drop(spark, found_path)
+        release(spark)
+        if spans and pairs.isEmpty():
+            break
+        spans.append(_spans(pairs, texts, "spans", words, more))
         release(spark)
-    kept, _ = keep(_kept(spans.where("c IS NULL AND d2 IS NULL")), "kept")
+        words += more
+        some = spans[-1].where("c IS NOT NULL").select("d", "h", "a", "b", "c", F.lit(0).alias("lo"), end.alias("hi"), "done")
+    spans = functools.reduce(DataFrame.union, spans)
+    kept, _ = keep(_kept(spans.where("c IS NULL AND d2 IS NULL").select("d", "h", "a", "b")), "kept")
     joined = keyed.join(kept, ["__tf_d", "__tf_h"], "left")
     text = F.expr("CASE WHEN __tf_kept IS NULL THEN text ELSE array_join(transform(__tf_kept, s -> substring(text, s.at, s.n)), '') END")
     out = joined.withColumn("text", text)
