@@ -11,7 +11,8 @@ window of LONG words the one of the smallest hash, which equal windows choose al
 1. Hashes of all chunks and anchors are counted; each occurrence of a repeated one but the first (lowest doc_id, then earliest)
    is compared there, byte for byte, and widened on both sides as far as the texts are equal.  A chunk is cut as it is widened,
    an anchor if LONG words are equal.  Only the part of the first document's text up to the next anchors on both
-   sides travels to the other; where texts are equal up to an end of it, step 2 compares them whole.
+   sides travels to the other; where texts are equal up to an end of it, and that end isn't inside of another span, the
+   next step compares them whole.
 2. An anchor that isn't cut may still be in a passage that stands elsewhere than in the anchor's first place, if it stands in three
    places or more: it's widened by half of what LONG words need, to either side, and such runs are counted and compared
    in the same way; then those that are left by the other half, in all windows of LONG words.
@@ -26,7 +27,9 @@ beside doc_id and text pass through, whatever their names but ``removed_chars``,
 
 from __future__ import annotations
 
+import bisect
 import functools
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +44,10 @@ from .store import drop, keep, release
 LEAST, LONG, GRAM = 12, 50, 16
 MEAN = 3
 MEET = 64
+#: Characters on both sides of a widened anchor that are compared at first.
+NEAR = 512
 LAST_ID = 2**63 - 1
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 SPACE = np.zeros(0x3002, dtype=bool)
 SPACE[[c for c in range(0x3001) if chr(c).isspace()]] = True
@@ -238,11 +243,12 @@ def compare(x: str, part: str, at: int, whole: int, shift: int, places: list[tup
     """Places (a, b, is a chunk, stands in three places or more) of x against a text of ``whole`` characters, of which ``part``
     starts at ``at``; x[i] meets its i - shift.
 
-    Returns the spans to cut, whether anchors of three places or more are in one, and the places whose equal texts reach past ``part``.
+    Returns the spans to cut, whether anchors of three places or more are in one, and the places whose equal texts reach past
+    ``part``, with the ends where they do (else -1).
     """
     cut: set[tuple[int, int]] = set()
     anchors: dict[int, bool] = {}
-    open_: set[tuple[int, int, bool]] = set()
+    open_: set[tuple[int, int, bool, int, int]] = set()
     last = (0, -1, False, False)  # the last equal span, whether it's long, and whether it goes on past part
     for a, b, chunk, many in sorted(places):
         met = last[0] <= a and b <= last[1]
@@ -251,10 +257,10 @@ def compare(x: str, part: str, at: int, whole: int, shift: int, places: list[tup
             met = x[a:b] == part[i : i + b - a]
             if met:
                 lo, hi, left, right = widened(x, a, b, part, i)
-                more = (left and lo > 0 and at > 0) or (right and hi < len(x) and at + len(part) < whole)
-                last = lo, hi, len(x[lo:hi].split(None, LONG - 1)) == LONG, more
-                if more:
-                    open_.add((a, b, chunk))
+                left, right = left and lo > 0 and at > 0, right and hi < len(x) and at + len(part) < whole
+                last = lo, hi, len(x[lo:hi].split(None, LONG - 1)) == LONG, left or right
+                if left or right:
+                    open_.add((a, b, chunk, lo if left else -1, hi if right else -1))
         if met and (chunk or last[2]):
             cut.add(last[:2])
         if many and not chunk:
@@ -262,6 +268,23 @@ def compare(x: str, part: str, at: int, whole: int, shift: int, places: list[tup
     return cut, anchors, open_
 
 
+def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def within(spans: list[tuple[int, int]], at: int) -> bool:
+    """Whether ``at`` lies inside of one of the merged spans, not at an end; -1 does."""
+    i = bisect.bisect_left(spans, (at, -1)) - 1
+    return at < 0 or (i >= 0 and spans[i][0] < at < spans[i][1])
+
+
 def _pairs(found: DataFrame) -> DataFrame:
     """The places of repeated hashes but the first ones and those that are done: d, h, d2, h2 (the first one's document), shift, places, lo, hi."""
     # As tables of their own, hashes and first places are shuffled for the joins, and Spark can split a hot hash over tasks.
@@ -290,18 +313,22 @@ def _spans(pairs: DataFrame, texts: DataFrame, name: str, words: int, more: int)
             for i in range(batch.num_rows):
                 k, text = (d[i].as_py(), h[i].as_py()), x[i].as_py()
                 anchors: dict[int, bool] = {}
+                spans, ends = set(), []
                 for m in met[i].as_py():
                     cut, some, open_ = compare(text, m["part"], m["at"], m["whole"], m["shift"], [(p["a"], p["b"], p["chunk"], p["many"]) for p in m["places"]])
                     for a, done in some.items():
                         anchors[a] = anchors.get(a, False) or done
-                    out += [(*k, a, b, None, None, None, None, None, None) for a, b in cut]
-                    out += [(*k, a, b, None, None, m["d2"], m["h2"], m["shift"], chunk) for a, b, chunk in open_]
+                    spans |= cut
+                    ends += [(place, m["d2"], m["h2"], m["shift"]) for place in open_]
+                spans = merged(spans)
+                out += [(*k, a, b, None, None, None, None, None, None) for a, b in spans]
+                out += [(*k, a, b, None, None, d2, h2, shift, chunk) for (a, b, chunk, lo, hi), d2, h2, shift in ends if not (within(spans, lo) and within(spans, hi))]
                 if anchors and more:
                     runs, chars = Runs([text]), sorted(anchors)
                     of, first, last = runs.around(chars, words, more)
                     c = (runs.hashes(first, last) & ~np.uint64(1)).view(np.int64)
-                    for j, a, b, x_ in zip(of.tolist(), runs.starts[first].tolist(), runs.ends[last].tolist(), c.tolist(), strict=True):
-                        out.append((*k, a, b, x_, anchors[chars[j]], None, None, None, None))
+                    for j, a, b, hash_ in zip(of.tolist(), runs.starts[first].tolist(), runs.ends[last].tolist(), c.tolist(), strict=True):
+                        out.append((*k, a, b, hash_, anchors[chars[j]], None, None, None, None))
             columns = list(zip(*out, strict=True)) if out else [[]] * 10
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["d", "h", "a", "b", "c", "done", "d2", "h2", "shift", "chunk"])
@@ -364,7 +391,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         spans.append(_spans(pairs, texts, "spans", words, more))
         release(spark)
         words += more
-        some = spans[-1].where("c IS NOT NULL").select("d", "h", "a", "b", "c", F.lit(0).alias("lo"), end.alias("hi"), "done")
+        # What is left at the last step is compared whole.
+        far = F.lit(NEAR if words < LONG else 2**30)
+        some = spans[-1].where("c IS NOT NULL").select("d", "h", "a", "b", "c", F.greatest(F.col("a") - far, F.lit(0)).alias("lo"), (F.col("b") + far).alias("hi"), "done")
     spans = functools.reduce(DataFrame.union, spans)
     kept, _ = keep(_kept(spans.where("c IS NULL AND d2 IS NULL").select("d", "h", "a", "b")), "kept")
     joined = keyed.join(kept, ["__tf_d", "__tf_h"], "left")
