@@ -50,7 +50,7 @@ sql_query("percent_split", "SELECT doc_id, CASE WHEN rn * 10 <= n * 8 THEN 'trai
 sql_query("hash_sample", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(concat(CAST(doc_id AS STRING), ':7')), doc_id) AS rn FROM {documents}) x WHERE rn <= 40")
 
 
-WINDOWS = "w AS (SELECT doc_id, i AS win, i * 40 AS a, i * 40 + 80 AS b, (doc_id + i) % 10 AS p FROM documents, range(0, 6) r(i)), l AS (SELECT doc_id, line, a, a + n AS b FROM (SELECT doc_id, line, n, coalesce(sum(n + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM (SELECT doc_id, generate_subscripts(parts, 1) AS line, length(unnest(parts)) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))) WHERE n > 0)"
+WINDOWS = "w AS (SELECT doc_id, i AS win, i * 40 AS a, i * 40 + 80 AS b, (doc_id + i) % 10 AS p FROM (SELECT doc_id, unnest(range(0, CASE WHEN length(text) <= 80 THEN 1 ELSE CAST(ceil((length(text) - 80) / 40.0::DOUBLE) AS BIGINT) + 1 END)) AS i FROM documents)), l AS (SELECT doc_id, line, a, a + n AS b FROM (SELECT doc_id, line, n, coalesce(sum(n + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM (SELECT doc_id, generate_subscripts(parts, 1) AS line, length(unnest(parts)) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))) WHERE n > 0)"
 
 
 def line_table(t: Tables) -> DataFrame:
@@ -71,9 +71,32 @@ g AS (SELECT doc_id, line, sum(weight * p) / (sum(weight) * 10)::DOUBLE AS v FRO
 SELECT l.doc_id, l.line, round(coalesce(g.v, d.mean), 6) AS score FROM l JOIN d USING (doc_id) LEFT JOIN g ON g.doc_id = l.doc_id AND g.line = l.line""")
 def interval_overlap_avg(t: Tables) -> DataFrame:
     """Lines take the average of the windows that overlap them, weighted by overlap; others the document's mean."""
-    w = t.documents.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i")).select("doc_id", (F.col("i") * 40).alias("wa"), (F.col("i") * 40 + 80).alias("wb"), ((F.col("doc_id") + F.col("i")) % 10).alias("p"))
-    lines = line_table(t)
-    over = lines.join(w, "doc_id").where("wa < b AND a < wb").withColumn("weight", F.least("wb", "b") - F.greatest("wa", "a"))
+    w, lines, over = overlaps(t)
     best = over.groupBy("doc_id", "line").agg((F.sum(F.col("weight") * F.col("p")) / (F.sum("weight") * 10)).alias("v"))
     means = w.groupBy("doc_id").agg((F.sum("p") / (F.count(F.lit(1)) * 10)).alias("mean"))
     return lines.join(means, "doc_id").join(best, ["doc_id", "line"], "left").select("doc_id", "line", F.round(F.coalesce("v", "mean"), 6).alias("score"))
+
+
+def overlaps(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Windows of 80 characters, 40 apart, up to the end of each text; lines; and pairs of the two that overlap, each line looking up
+    the windows by number."""
+    n = F.length("text")
+    last = F.when(n <= 80, 0).otherwise(F.ceil((n - 80) / 40)).cast("long")
+    w = t.documents.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("i")).select("doc_id", "i", ((F.col("doc_id") + F.col("i")) % 10).alias("p"))
+    lines = line_table(t)
+    first, end = F.greatest(F.floor((F.col("a") - 80) / 40) + 1, F.lit(0)), F.floor((F.col("b") - 1) / 40)
+    each = lines.withColumn("i", F.explode(F.sequence(first, end)))
+    weight = F.least(F.col("i") * 40 + 80, F.col("b")) - F.greatest(F.col("i") * 40, F.col("a"))
+    return w, lines, each.join(w, ["doc_id", "i"]).withColumn("weight", weight)
+
+
+@query(f"""WITH {WINDOWS}, o AS (SELECT l.doc_id, l.line, least(w.b, l.b) - greatest(w.a, l.a) AS weight, p FROM l JOIN w ON w.doc_id = l.doc_id AND w.a < l.b AND l.a < w.b)
+SELECT doc_id, line, round(avg(p) / 10.0::DOUBLE, 6) AS mean, round(sum(weight * weight * p) / (sum(weight * weight) * 10)::DOUBLE, 6) AS squared, round(sum(CASE WHEN p >= 6 THEN weight ELSE 0 END) / sum(weight)::DOUBLE, 6) AS votes, max(p) AS most FROM o GROUP BY ALL""")
+def line_aggregators(t: Tables) -> DataFrame:
+    """Four other ways to give lines their windows' values: mean, squared overlap, hard votes, and the largest."""
+    _, _, o = overlaps(t)
+    w2 = F.col("weight") * F.col("weight")
+    return o.groupBy("doc_id", "line").agg(
+        F.round(F.avg("p") / 10, 6).alias("mean"), F.round(F.sum(w2 * F.col("p")) / (F.sum(w2) * 10), 6).alias("squared"),
+        F.round(F.sum(F.when(F.col("p") >= 6, F.col("weight")).otherwise(0)) / F.sum("weight"), 6).alias("votes"), F.max("p").alias("most"),
+    )

@@ -85,16 +85,6 @@ def audio_blend(t: Tables) -> DataFrame:
     return rows.join(audio, ["query_id", "vec_id"], "left").select("query_id", "vec_id", F.round(blend, 6).alias("score"))
 
 
-@query("""WITH l AS (SELECT * FROM embeddings WHERE vec_id % 10 = 0),
-s AS (SELECT a.label, avg(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS s FROM l a JOIN l b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.label)
-SELECT label, round(1 - s, 6) AS diversity FROM s""")
-def diversity(t: Tables) -> DataFrame:
-    rows = t.embeddings.where("vec_id % 10 = 0").select("vec_id", "label", "embedding")
-    other = rows.select(F.col("vec_id").alias("other"), "label", F.col("embedding").alias("e"))
-    pairs = rows.join(other, "label").where("vec_id <> other")
-    return pairs.groupBy("label").agg(F.round(1 - F.avg(v.dot(F.col("embedding"), F.col("e"))), 6).alias("diversity"))
-
-
 @query(f"""WITH {PAIRS}, k AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id) AS rank FROM p WHERE query_id <> vec_id),
 n AS (SELECT k.query_id, e.label, count(*) AS votes, min(rank) AS best FROM k JOIN embeddings e USING (vec_id) WHERE rank <= 10 GROUP BY ALL),
 w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, best) AS place FROM n)
