@@ -44,6 +44,8 @@ from .store import drop, keep, release
 LEAST, LONG, GRAM = 12, 50, 16
 MEAN = 3
 MEET = 64
+#: Characters of a first document that are compared together.
+ZONE = 8192
 #: Characters on both sides of a widened anchor that are compared at first.
 NEAR = 512
 LAST_ID = 2**63 - 1
@@ -239,32 +241,33 @@ def widened(x: str, a: int, b: int, y: str, at: int) -> tuple[int, int, bool, bo
     return a - n, b + m, left, right
 
 
-def compare(x: str, part: str, at: int, whole: int, shift: int, places: list[tuple[int, int, bool, bool]]) -> tuple[set, dict, set]:
-    """Places (a, b, is a chunk, stands in three places or more) of x against a text of ``whole`` characters, of which ``part``
-    starts at ``at``; x[i] meets its i - shift.
+def compare(x: str, part: str, at: int, whole: int, places: list[tuple[int, int, int, bool, bool]]) -> tuple[set, dict, set]:
+    """Places (shift, a, b, is a chunk, stands in three places or more) of x against a text of ``whole`` characters, of which
+    ``part`` starts at ``at``; x[a] meets its a - shift.
 
     Returns the spans to cut, whether anchors of three places or more are in one, and the places whose equal texts reach past
     ``part``, with the ends where they do (else -1).
     """
     cut: set[tuple[int, int]] = set()
     anchors: dict[int, bool] = {}
-    open_: set[tuple[int, int, bool, int, int]] = set()
-    last = (0, -1, False, False)  # the last equal span, whether it's long, and whether it goes on past part
-    for a, b, chunk, many in sorted(places):
-        met = last[0] <= a and b <= last[1]
+    open_: set[tuple[int, int, int, bool, int, int]] = set()
+    # The last equal span, whether it's long, whether it goes on past part, and how x and part are aligned there.
+    last: tuple = (0, -1, False, False, None)
+    for shift, a, b, chunk, many in sorted(places):
+        met = last[4] == shift and last[0] <= a and b <= last[1]
         if not met:
             i = a - shift - at
             met = x[a:b] == part[i : i + b - a]
             if met:
                 lo, hi, left, right = widened(x, a, b, part, i)
                 left, right = left and lo > 0 and at > 0, right and hi < len(x) and at + len(part) < whole
-                last = lo, hi, len(x[lo:hi].split(None, LONG - 1)) == LONG, left or right
+                last = lo, hi, len(x[lo:hi].split(None, LONG - 1)) == LONG, left or right, shift
                 if left or right:
-                    open_.add((a, b, chunk, lo if left else -1, hi if right else -1))
+                    open_.add((shift, a, b, chunk, lo if left else -1, hi if right else -1))
         if met and (chunk or last[2]):
             cut.add(last[:2])
         if many and not chunk:
-            anchors[a] = met and (last[2] or last[3])
+            anchors[a] = anchors.get(a, False) or (met and (last[2] or last[3]))
     return cut, anchors, open_
 
 
@@ -286,15 +289,17 @@ def within(spans: list[tuple[int, int]], at: int) -> bool:
 
 
 def _pairs(found: DataFrame) -> DataFrame:
-    """The places of repeated hashes but the first ones and those that are done: d, h, d2, h2 (the first one's document), shift, places, lo, hi."""
+    """The places of repeated hashes but the first ones and those that are done, for each ZONE of the first one's document:
+    d, h, d2, h2, zone, places, lo, hi (the part of that document)."""
     # As tables of their own, hashes and first places are shuffled for the joins, and Spark can split a hot hash over tasks.
     several, several_path = keep(found.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c", (F.col("n") > 2).alias("many")), "repeated-hashes")
     again, again_path = keep(found.join(several, "c"), "repeated")
     first, first_path = keep(again.groupBy("c").agg(F.min(F.struct("d", "h", "a")).alias("f")), "first-places")
     pairs = again.where("NOT done").join(first, "c").where(~((F.col("d") == F.col("f.d")) & (F.col("h") == F.col("f.h")) & (F.col("a") == F.col("f.a"))))
-    place = F.struct("a", "b", (F.col("c") % 2 != 0).alias("chunk"), "many")
-    shift = (F.col("a") - F.col("f.a")).alias("shift")
-    pairs, _ = keep(pairs.groupBy("d", "h", F.col("f.d").alias("d2"), F.col("f.h").alias("h2"), shift).agg(F.collect_set(place).alias("places"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "pairs")
+    shift = F.col("a") - F.col("f.a")
+    place = F.struct(shift.alias("shift"), "a", "b", (F.col("c") % 2 != 0).alias("chunk"), "many")
+    pairs = pairs.groupBy("d", "h", F.col("f.d").alias("d2"), F.col("f.h").alias("h2"), F.floor(F.col("f.a") / ZONE).alias("zone"))
+    pairs, _ = keep(pairs.agg(F.collect_set(place).alias("places"), F.min(F.col("lo") - shift.cast("long")).alias("lo"), F.max(F.col("hi") - shift.cast("long")).alias("hi")), "pairs")
     drop(found.sparkSession, several_path, again_path, first_path)
     return pairs
 
@@ -315,14 +320,14 @@ def _spans(pairs: DataFrame, texts: DataFrame, name: str, words: int, more: int)
                 anchors: dict[int, bool] = {}
                 spans, ends = set(), []
                 for m in met[i].as_py():
-                    cut, some, open_ = compare(text, m["part"], m["at"], m["whole"], m["shift"], [(p["a"], p["b"], p["chunk"], p["many"]) for p in m["places"]])
+                    cut, some, open_ = compare(text, m["part"], m["at"], m["whole"], [tuple(p.values()) for p in m["places"]])
                     for a, done in some.items():
                         anchors[a] = anchors.get(a, False) or done
                     spans |= cut
-                    ends += [(place, m["d2"], m["h2"], m["shift"]) for place in open_]
+                    ends += [(place, m["d2"], m["h2"]) for place in open_]
                 spans = merged(spans)
                 out += [(*k, a, b, None, None, None, None, None, None) for a, b in spans]
-                out += [(*k, a, b, None, None, d2, h2, shift, chunk) for (a, b, chunk, lo, hi), d2, h2, shift in ends if not (within(spans, lo) and within(spans, hi))]
+                out += [(*k, a, b, None, None, d2, h2, shift, chunk) for (shift, a, b, chunk, lo, hi), d2, h2 in ends if not (within(spans, lo) and within(spans, hi))]
                 if anchors and more:
                     runs, chars = Runs([text]), sorted(anchors)
                     of, first, last = runs.around(chars, words, more)
@@ -334,17 +339,19 @@ def _spans(pairs: DataFrame, texts: DataFrame, name: str, words: int, more: int)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["d", "h", "a", "b", "c", "done", "d2", "h2", "shift", "chunk"])
 
     # A first document that many others meet has its text sent in copies, one for each MEET of them.
-    hot = pairs.groupBy("d2", "h2").agg(F.floor(F.count(F.lit(1)) / MEET).alias("top"))
+    hot, hot_path = keep(pairs.groupBy("d2", "h2").agg(F.floor(F.count(F.lit(1)) / MEET).alias("top")), "first-documents")
     other = hot.join(texts.select(F.col("__tf_d").alias("d2"), F.col("__tf_h").alias("h2"), "text"), ["d2", "h2"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), "top")))
-    salted = pairs.join(hot.where("top > 0"), ["d2", "h2"], "left").withColumn("salt", F.pmod(F.xxhash64("d", "h", "shift"), F.coalesce("top", F.lit(0)) + 1)).drop("top")
-    at = F.greatest(F.col("lo") - F.col("shift"), F.lit(0))
-    end = F.least(F.col("hi").cast("long") - F.col("shift"), F.length("text")).cast("int")
-    part = F.substring("text", at + 1, F.greatest(end - at, F.lit(0)))
+    salted = pairs.join(hot.where("top > 0"), ["d2", "h2"], "left").withColumn("salt", F.pmod(F.xxhash64("d", "h", "zone"), F.coalesce("top", F.lit(0)) + 1)).drop("top")
+    size = F.length("text")
+    at = F.least(F.greatest(F.col("lo"), F.lit(0)), size).cast("int")
+    part = F.substring("text", at + 1, F.greatest(F.least(F.col("hi"), size).cast("int") - at, F.lit(0)))
     parts = salted.join(other.drop("top"), ["d2", "h2", "salt"])
-    parts = parts.select("d", "h", F.struct("d2", "h2", "shift", "places", at.alias("at"), part.alias("part"), F.length("text").alias("whole")).alias("m"))
+    parts = parts.select("d", "h", F.struct("d2", "h2", "places", at.alias("at"), part.alias("part"), size.alias("whole")).alias("m"))
     met = parts.groupBy("d", "h").agg(F.collect_list("m").alias("met"))
     both = met.join(texts.select(F.col("__tf_d").alias("d"), F.col("__tf_h").alias("h"), F.col("text").alias("x")), ["d", "h"])
-    return keep(both.select("d", "h", "x", "met").mapInArrow(run, SPANS), name)[0]
+    spans, _ = keep(both.select("d", "h", "x", "met").mapInArrow(run, SPANS), name)
+    drop(pairs.sparkSession, hot_path)
+    return spans
 
 
 def _kept(spans: DataFrame) -> DataFrame:
@@ -375,14 +382,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     columns = [c for c in docs.columns if c != "removed_chars"]
     keyed = _keys(docs.select(*columns))
-    texts = keyed.where("text IS NOT NULL").select("__tf_d", "__tf_h", F.col("text").cast("string").alias("text")).dropDuplicates(["__tf_d", "__tf_h"])
+    texts = keyed.where("text IS NOT NULL").select("__tf_d", "__tf_h", F.col("text").cast("string").alias("text")).repartition("__tf_d", "__tf_h").dropDuplicates(["__tf_d", "__tf_h"])
     found, found_path = keep(_places(keyed).withColumn("done", F.lit(False)), "places")
     spans, words, some = [], GRAM, found
     end = F.lit(2**31 - 1)
     for more in (LONG - GRAM) // 2, LONG - GRAM - (LONG - GRAM) // 2, 0:
         pairs = _pairs(some)
         if spans:  # texts that are equal as far as they were compared
-            open_ = spans[-1].where("d2 IS NOT NULL").groupBy("d", "h", "d2", "h2", "shift").agg(F.collect_set(F.struct("a", "b", "chunk", F.lit(False).alias("many"))).alias("places"), F.lit(0).alias("lo"), end.alias("hi"))
+            place = F.struct("shift", "a", "b", "chunk", F.lit(False).alias("many"))
+            open_ = spans[-1].where("d2 IS NOT NULL").groupBy("d", "h", "d2", "h2", F.lit(-1).cast("long").alias("zone")).agg(F.collect_set(place).alias("places"), F.lit(0).cast("long").alias("lo"), end.cast("long").alias("hi"))
             pairs = pairs.unionByName(open_)
         drop(spark, found_path)
         release(spark)
