@@ -17,14 +17,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
 from .components import components
 from .simhash import ball_buckets, shingle_hashes, simhash
-from .store import drop, keep
+from .store import drop, keep, release
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -132,22 +132,37 @@ def _groups(sketches: DataFrame) -> DataFrame:
     return roots
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds __tf_h and __tf_m, two hashes that tell texts apart; null texts are empty."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumn("__tf_h", F.xxhash64(text)).withColumn("__tf_m", F.md5(text.cast("binary")))
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, text hash t, component_id (smallest doc_id of the group) of each distinct (doc_id, text)."""
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__tf_text")).withColumn("t", F.xxhash64("__tf_text"))
-    ids = rows.groupBy("t").agg(F.min("doc_id").alias("doc"))
+    """__tf_h, __tf_m and component_id (smallest doc_id of the group) of each distinct text."""
+    rows = _keyed(docs.select("doc_id", "text"))
+    ids = rows.groupBy("__tf_h", "__tf_m").agg(F.min("doc_id").alias("doc"))
+    # A text's number is its 64-bit hash; of unequal texts with one hash all but the first get another.
+    place = F.row_number().over(Window.partitionBy("__tf_h").orderBy("__tf_m"))
+    ids, ids_path = keep(ids.withColumn("t", F.when(place == 1, F.col("__tf_h")).otherwise(F.xxhash64("__tf_h", "__tf_m"))), "texts")
     # One row stands for each distinct text: the one with the group's smallest id.
-    alone = rows.join(ids, "t").where(F.col("doc_id").eqNullSafe(F.col("doc"))).select("t", "__tf_text").dropDuplicates(["t"])
-    sketches, _ = keep(_sketches(alone), "sketches")
+    alone = rows.join(ids, ["__tf_h", "__tf_m"]).where(F.col("doc_id").eqNullSafe(F.col("doc"))).select("t", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__tf_text")).dropDuplicates(["t"])
+    sketches, sketches_path = keep(_sketches(alone), "sketches")
     groups = _groups(sketches)
-    linked = ids.join(groups, "t", "left").select("t", F.coalesce("root", "t").alias("root"), "doc")
+    drop(docs.sparkSession, sketches_path)
+    linked = ids.join(groups, "t", "left").select("__tf_h", "__tf_m", F.coalesce("root", "t").alias("root"), "doc")
     least = linked.groupBy("root").agg(F.min("doc").alias("component_id"))
-    return linked.join(least, "root").select("t", "component_id")
+    found, _ = keep(linked.join(least, "root").select("__tf_h", "__tf_m", "component_id"), "near-groups")
+    drop(docs.sparkSession, ids_path)
+    release(docs.sparkSession)
+    return found
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is the smallest of their group (one of several equal rows); null ids in groups of their own."""
-    labels = near_groups(docs)
-    keyed = docs.withColumn("__tf_t", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    labels = labels.withColumnRenamed("t", "__tf_t").withColumnRenamed("component_id", "__tf_c")
-    return keyed.join(labels, "__tf_t").where("doc_id = __tf_c OR (doc_id IS NULL AND __tf_c IS NULL)").dropDuplicates(["doc_id", "__tf_t"]).drop("__tf_t", "__tf_c")
+    """Rows of ``docs`` whose doc_id is the smallest of their group (one of several equal rows); null ids in groups of their own.
+
+    Texts are whole whatever their length; an empty table gives no row; columns beside doc_id and text pass through.
+    """
+    labels = near_groups(docs).withColumnRenamed("component_id", "__tf_c")
+    found = _keyed(docs).join(labels, ["__tf_h", "__tf_m"]).where("doc_id = __tf_c OR (doc_id IS NULL AND __tf_c IS NULL)")
+    return found.dropDuplicates(["doc_id", "__tf_h", "__tf_m"]).select(*docs.columns)
