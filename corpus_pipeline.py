@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textforge.llm import bpe, line_dedup, mixing, near_dedup, toxicity
-from textforge.llm.store import keep, table
+from textforge.llm.store import drop, keep, release, table
 from textforge.session import ship
 
 
@@ -50,12 +50,17 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: SQL has no model fits, hash functions or merges of this kind; tests hold the stages against brute force.
+#: SQL has no model fits, hash functions or merges of this kind; tests hold what each stage computes against brute force or exact
+#: counts (label model and scores, repeated windows, all pairs of texts, sums of the mix, the tokenizer's library).
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, path = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        if last:
+            drop(spark, last)
+        release(spark)
+        last = path  # the result reads the last one
     return STAGES[-1][1](spark, docs, sf_dir)
