@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .unicode import nfc
+
 #: Runs of Devanagari letters, or of ASCII letters and digits.
 TOKEN = "[\\x{0900}-\\x{097F}]+|[A-Za-z0-9]+"
 
@@ -15,8 +17,8 @@ def tokens(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case, sharp s as ss, everything but letters, digits and underscores as one space, trimmed."""
-    return F.trim(F.regexp_replace(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss")), "[^\\p{L}\\p{N}_\\x{0900}-\\x{097F}]+", " "))
+    """NFC, lower case, sharp s as ss, everything but letters, digits and underscores as one space, trimmed."""
+    return F.trim(F.regexp_replace(F.replace(F.lower(nfc(text)), F.lit("ß"), F.lit("ss")), "[^\\p{L}\\p{N}_\\x{0900}-\\x{097F}]+", " "))
 
 
 def spaced(text: Column) -> Column:
@@ -25,7 +27,7 @@ def spaced(text: Column) -> Column:
 
 
 def content_hash(text: Column) -> Column:
-    return F.sha2(F.lower(spaced(text)), 256)
+    return F.sha2(F.lower(spaced(nfc(text))), 256)
 
 
 def lines(text: Column) -> Column:

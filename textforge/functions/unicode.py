@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import unicodedata
 
 import pandas as pd
@@ -54,3 +55,20 @@ def tidy(text: Column) -> Column:
 def skeleton(token: Column) -> Column:
     """NFC without marks and joiners: what is left of a word without its vowel signs."""
     return F.regexp_replace(nfc(token), "[\\p{M}\\x{200c}\\x{200d}]", "")
+
+
+@pandas_udf(StringType())
+def noisy(words: pd.Series, seeds: pd.Series) -> pd.Series:
+    """Words with one typing error each, of a kind and at a place that the seed chooses: a letter lost, doubled, exchanged with the
+    next one, put in or replaced; empty words stay."""
+
+    def one(word: str | None, seed: int) -> str | None:
+        if not word:
+            return word
+        r = random.Random(seed)
+        i, kind, letter = r.randrange(len(word)), r.randrange(5), r.choice("abcdefghijklmnopqrstuvwxyz")
+        if kind == 2 and i + 1 < len(word):
+            return word[:i] + word[i + 1] + word[i] + word[i + 2 :]
+        return (word[:i] + word[i + 1 :], word[: i + 1] + word[i:], word, word[:i] + letter + word[i:], word[:i] + letter + word[i + 1 :])[kind]
+
+    return pd.Series([one(w, int(s)) for w, s in zip(words, seeds, strict=True)])

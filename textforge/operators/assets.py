@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import subprocess
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -72,17 +74,50 @@ def run(assets: list[Asset], force: bool = False, dry: bool = False, wait: float
     return status
 
 
-def bootstrap(rows: DataFrame, resamples: int, seed: int = 7) -> DataFrame:
-    """(mean, low, high) of ``x`` by Poisson resampling: each row counts Poisson(1) times in each resample, so that no
-    row has to be looked up and resamples are summed map-side."""
-    u = F.rand(seed)
-    draws = rows.select("x", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).withColumn("u", u)
-    times, total = F.lit(0), 0.36787944117144233
-    steps, p = [], total
-    for k in range(1, 8):
+def script(arguments: list[str], seconds: float = 3600.0) -> Callable[[], str]:
+    """An action that runs a command and returns the end of its output; RuntimeError if it fails or takes too long."""
+
+    def act() -> str:
+        try:
+            done = subprocess.run(arguments, capture_output=True, text=True, timeout=seconds)
+        except subprocess.TimeoutExpired as e:
+            raise RuntimeError(f"{arguments[0]} took more than {seconds} s") from e
+        if done.returncode:
+            raise RuntimeError(f"{arguments[0]} ended with {done.returncode}: {done.stderr[-500:]}")
+        return done.stdout[-500:]
+
+    return act
+
+
+def history(old: DataFrame, statuses: dict[str, str], run: str, at: str) -> DataFrame:
+    """The history (run, asset, status, at) with the outcome of a run behind it."""
+    return old.unionByName(old.sparkSession.createDataFrame([(run, a, s, at) for a, s in statuses.items()], old.schema))
+
+
+def last_statuses(rows: DataFrame) -> DataFrame:
+    """(asset, status, at, failed_at): each asset's latest status, and when it failed last."""
+    latest = F.max(F.struct("at", "run", "status")).alias("m")
+    return rows.groupBy("asset").agg(latest, F.max(F.when(F.col("status") == "failed", F.col("at"))).alias("failed_at")).select("asset", "m.status", "m.at", "failed_at")
+
+
+def paired_bootstrap(rows: DataFrame, key: str, resamples: int = 2000, seed: int = 7) -> DataFrame:
+    """(mean, low, high, positive, n) of paired differences ``x``: the interval is that of the means of resamples.
+
+    A resample counts each row Poisson(1) times, drawn from a hash of key, seed and resample, so reruns and other partitions
+    agree and no row is looked up.  Equal differences are one row with a weight first where they have one key.  A row's draws are summed
+    in arrays, so that a task sends one partial sum for each resample.  ``positive`` is the share of differences above 0.
+    """
+    names = F.sequence(F.lit(0), F.lit(resamples - 1))
+    u = lambda i: F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed), i), 11) / float(1 << 53)
+    steps, p, total = [], math.exp(-1), 0.0
+    for k in range(1, 20):
+        total += p
         steps.append(total)
         p /= k
-        total += p
-    times = sum((F.when(F.col("u") > s, 1).otherwise(0) for s in steps), F.lit(0))
-    means = draws.withColumn("k", times).groupBy("b").agg((F.sum(F.col("x") * F.col("k")) / F.sum("k")).alias("m"))
-    return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    edges = F.array(*map(F.lit, steps))
+    times = lambda v: F.size(F.filter(edges, lambda e: e < v))
+    draws = rows.select("x", F.posexplode(F.transform(names, lambda i: times(u(i)))).alias("b", "k")).where("k > 0")
+    means = draws.groupBy("b").agg((F.sum(F.col("x") * F.col("k")) / F.sum("k")).alias("m"))
+    interval = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    facts = rows.agg(F.avg("x").alias("mean"), F.avg((F.col("x") > 0).cast("double")).alias("positive"), F.count(F.lit(1)).alias("n"))
+    return facts.join(interval, F.lit(True)).select("mean", "low", "high", "positive", "n")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from textforge.functions.unicode import skeleton
+
 
 def indel(a: str, b: str) -> float:
     """100 * 2 * LCS / (len a + len b), by bit-parallel longest common subsequence."""
@@ -37,6 +39,43 @@ def token_set(a: str, b: str) -> float:
     return max(indel(one, two), *((indel(both, one), indel(both, two)) if both else (0.0,)))
 
 
+def token_sort(a: str, b: str) -> float:
+    return indel(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+
+
+def partial(a: str, b: str) -> float:
+    """The best ratio of the shorter text with a part of the longer one of its length, or a shorter part at an end."""
+    a, b = sorted((a, b), key=len)
+    if not a:
+        return 100.0 if not b else 0.0
+    starts = range(1 - len(a), len(b))
+    return max(indel(a, b[max(0, i) : i + len(a)]) for i in starts)
+
+
+def partial_token(a: str, b: str) -> float:
+    x, y = set(a.split()), set(b.split())
+    if x & y:
+        return 100.0
+    return max(partial(" ".join(sorted(a.split())), " ".join(sorted(b.split()))), partial(" ".join(sorted(x - y)), " ".join(sorted(y - x))))
+
+
+def weighted(a: str, b: str) -> float:
+    """The best of several ratios, those of tokens and of parts at a discount that grows with the difference in length."""
+    if not a or not b:
+        return 0.0
+    longer = max(len(a), len(b)) / min(len(a), len(b))
+    whole = indel(a, b)
+    if longer < 1.5:
+        return max(whole, 0.95 * max(token_sort(a, b), token_set(a, b)))
+    scale = 0.9 if longer <= 8 else 0.6
+    return max(whole, scale * partial(a, b), 0.95 * scale * partial_token(a, b))
+
+
+@pandas_udf(DoubleType())
+def weighted_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([weighted(x or "", y or "") for x, y in zip(a, b, strict=True)])
+
+
 @pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel(x or "", y or "") for x, y in zip(a, b, strict=True)])
@@ -52,14 +91,20 @@ def grams(text: Column, k: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(k))))
 
 
-def expand(queries: DataFrame, vocabulary: DataFrame, pool: int = 200, least: float = 70.0, keep: int = 3) -> DataFrame:
-    """(token, term, weight): vocabulary terms close to query tokens; the ``pool`` with most shared 2- and 3-grams are compared."""
+def expand(queries: DataFrame, vocabulary: DataFrame, pool: int = 200, least: float = 70.0, keep: int = 3, rare: int = 10) -> DataFrame:
+    """(token, term, rank, weight): vocabulary terms (term, df) close to query tokens (token, df, 0 for unknown ones).
+
+    The ``pool`` terms with most shared 2- and 3-grams are compared, as they are and by their consonants alone; tokens that are
+    known but rare expand only to terms as rare.
+    """
     both = lambda c: F.explode(F.array_union(grams(F.col(c), 2), grams(F.col(c), 3)))
-    q = queries.select("token", both("token").alias("gram"))
-    v = vocabulary.select("term", both("term").alias("gram")).join(q.select("gram").distinct(), "gram", "left_semi")
-    shared = q.join(v, "gram").groupBy("token", "term").agg(F.count(F.lit(1)).alias("n")).where("token <> term")
+    q = queries.select("token", F.col("df").alias("known"), both("token").alias("gram"))
+    v = vocabulary.select("term", "df", both("term").alias("gram")).join(q.select("gram").distinct(), "gram", "left_semi")
+    shared = q.join(v, "gram").where((F.col("known") == 0) | (F.col("df") <= rare)).groupBy("token", "term").agg(F.count(F.lit(1)).alias("n")).where("token <> term")
     near = shared.withColumn("place", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("n"), "term"))).where(F.col("place") <= pool)
-    rated = near.withColumn("ratio", ratio("token", "term")).where(F.col("ratio") >= least)
+    bones = near.withColumn("x", skeleton(F.col("token"))).withColumn("y", skeleton(F.col("term")))
+    by_bones = F.when((F.col("x") != F.col("token")) | (F.col("y") != F.col("term")), ratio("x", "y")).otherwise(0.0)
+    rated = bones.withColumn("ratio", F.greatest(ratio("token", "term"), by_bones)).where(F.col("ratio") >= least)
     best = rated.withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("ratio"), "term")).cast("long")).where(F.col("rank") <= keep)
     return best.select("token", "term", "rank", F.round(F.col("ratio") / 100 * 0.8, 6).alias("weight"))
 

@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textforge.session import checkpointed
+
 
 def components(links: DataFrame, nodes: DataFrame, a: str = "a", b: str = "b", node: str = "node", rounds: int = 50) -> DataFrame:
     """(node, group): the smallest node that links reach.  Labels fall to the smallest neighbour's, then jump to that label's own
-    label, so rounds grow with the logarithm of a path; each is one aggregation, and no node's neighbours are collected."""
-    both = links.select(F.col(a).alias("x"), F.col(b).alias("y")).union(links.select(F.col(b), F.col(a))).persist()
-    now = nodes.select(F.col(node).alias("node"), F.col(node).alias("label")).persist()
+    label, so rounds grow with the logarithm of a path; each is one aggregation, and no node's neighbours are collected.
+    Labels are checkpointed each round, so that neither plans nor what a lost executor costs grow."""
+    both = checkpointed(links.select(F.col(a).alias("x"), F.col(b).alias("y")).union(links.select(F.col(b), F.col(a))))
+    now = checkpointed(nodes.select(F.col(node).alias("node"), F.col(node).alias("label")))
     for _ in range(rounds):
         near = both.join(now.select(F.col("node").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("low"))
         low = now.join(near, now["node"] == near["x"], "left").select("node", F.least("label", F.coalesce("low", "label")).alias("label"))
         jump = low.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = low.join(jump, "label", "left").select("node", F.coalesce("further", "label").alias("label")).persist()
-        moved = new.join(now.withColumnRenamed("label", "was"), "node").where("label <> was").isEmpty()
+        new = checkpointed(low.join(jump, "label", "left").select("node", F.coalesce("further", "label").alias("label")))
+        settled = new.join(now.withColumnRenamed("label", "was"), "node").where("label <> was").isEmpty()
         now = new
-        if moved:
+        if settled:
             return now.select(F.col("node").alias(node), F.col("label").alias("group"))
     raise RuntimeError("groups did not settle")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,22 +54,28 @@ def checks(contract: Contract, columns: list[str]) -> dict[str, Column]:
     return out
 
 
-def validate(rows: DataFrame, contract: Contract, examples: str | None = None) -> DataFrame:
-    """(check, failures, examples): one row for each check, and missing or extra columns; five smallest example keys each."""
-    found = checks(contract, rows.columns)
-    columns = []
-    for name, bad in found.items():
-        columns.append(F.count_if(bad).alias(f"n:{name}"))
-    one = rows.agg(*columns)
-    labels = F.array(*[F.struct(F.lit(n).alias("check"), F.col(f"`n:{n}`").alias("failures")) for n in found])
-    out = one.select(F.explode(labels).alias("c")).select("c.check", "c.failures")
-    if contract.key:
-        twice = rows.groupBy(*contract.key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        out = out.union(twice.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("failures")).select(F.lit("key:unique"), F.col("failures").cast("long")))
+def validate(rows: DataFrame, contract: Contract, most: int = 5) -> DataFrame:
+    """(check, failures, examples): one row for each check, and missing or extra columns, with the smallest keys that fail."""
+    found = checks(contract, rows.columns) or {"rows:any": F.lit(False)}
+    keys = [c for c in contract.key if c in rows.columns]
+    key = F.concat_ws("/", *[F.col(c).cast("string") for c in keys]) if keys else F.lit(None).cast("string")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.coalesce(bad, F.lit(False)).alias("bad")) for n, bad in found.items()]))
+    flat = rows.select(key.alias("k"), each.alias("c")).select("k", "c.check", "c.bad")
+    counts = flat.groupBy("check").agg(F.count_if("bad").alias("failures"))
+    # Only the first few keys of a check are ever held: each task keeps that many before they're joined.
+    few = flat.where("bad AND k IS NOT NULL").withColumn("n", F.row_number().over(Window.partitionBy("check").orderBy("k"))).where(F.col("n") <= most)
+    some = few.groupBy("check").agg(F.array_sort(F.collect_list("k")).alias("examples"))
+    names = rows.sparkSession.createDataFrame([(n,) for n in found], "check string")
+    out = names.join(counts, "check", "left").join(some, "check", "left").select("check", F.coalesce("failures", F.lit(0)).alias("failures"), F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
+    if keys and len(keys) == len(contract.key):
+        twice = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key.alias("k"), "n")
+        first = twice.orderBy("k").limit(most).agg(F.array_sort(F.collect_list("k")).alias("examples"))
+        total = twice.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("failures"))
+        out = out.union(total.join(first, F.lit(True)).select(F.lit("key:unique"), "failures", "examples"))
     missing = [c for c in contract.fields if c not in rows.columns]
     extra = [c for c in rows.columns if c not in contract.fields]
-    spark = rows.sparkSession
-    return out.union(spark.createDataFrame([("columns:missing", len(missing)), ("columns:extra", len(extra))], "check string, failures long"))
+    columns = [("columns:missing", len(missing), missing[:most]), ("columns:extra", len(extra), extra[:most])]
+    return out.union(rows.sparkSession.createDataFrame(columns, "check string, failures long, examples array<string>"))
 
 
 def budgets(metrics: DataFrame, limits: list[tuple[str, float | None, float | None]]) -> DataFrame:

@@ -16,8 +16,10 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.explode(tx.tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def doc_lengths(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(key, F.size(tx.tokens(F.col(text))).cast("long").alias("dl"))
+def lengths(docs: DataFrame, text: str) -> DataFrame:
+    """One row: documents, and their mean number of tokens, which are counted without being cut out."""
+    n = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(tx.TOKEN))
+    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(n).alias("avgdl"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -42,11 +44,11 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str, doc_text: str, qid: str,
     broadcasts only if they are small.
     """
     terms = query_terms(queries, qid, query_text, words)
-    lengths = doc_lengths(docs, doc, doc_text)
-    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    post = postings(docs, doc, doc_text).join(terms.select("term").distinct(), "term", "left_semi")
-    stats = term_stats(post, totals)
-    hits = post.join(stats, "term").join(lengths, doc).join(terms, "term")
+    tokens = docs.select(doc, tx.tokens(F.col(doc_text)).alias("w")).select(doc, F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
+    # Each token carries its document's length, so that texts are cut into tokens once and lengths need no join.
+    post = tokens.join(terms.select("term").distinct(), "term", "left_semi").groupBy(doc, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    stats = term_stats(post, lengths(docs, doc_text))
+    hits = post.join(stats, "term").join(terms, "term")
     gain = F.col("idf") * F.col("qf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy(qid, doc).agg(F.sum(gain).alias("score"))
 
@@ -57,15 +59,16 @@ def top_k(scores: DataFrame, query: str, item: str, score: str, k: int) -> DataF
     return scores.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def min_max(score: Column, group: str) -> Column:
-    """0 to 1 within a group; all 0 where all are equal."""
-    w = Window.partitionBy(group)
-    low, high = F.min(score).over(w), F.max(score).over(w)
+def min_max(score: Column, low: Column, high: Column) -> Column:
+    """0 to 1 between the lowest and the highest; all 0 where all are equal."""
     return F.when(high > low, (score - low) / (high - low)).otherwise(F.lit(0.0))
 
 
 def fuse(scores: DataFrame, query: str, dense: str, lexical: str, weight: float = 0.65) -> DataFrame:
-    """Adds fused = (1 - weight) * dense + weight * lexical of min-max scores; missing and not finite ones count as 0."""
+    """Adds fused = (1 - weight) * dense + weight * lexical of min-max scores; missing and not finite ones count as 0.
+
+    Ends are aggregated and joined, so that no task holds all items of a query.
+    """
     if not 0 <= weight <= 1:
         raise ValueError("weight must lie between 0 and 1")
 
@@ -74,7 +77,10 @@ def fuse(scores: DataFrame, query: str, dense: str, lexical: str, weight: float
         return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0)).otherwise(x)
 
     rows = scores.withColumn("d", clean(dense)).withColumn("l", clean(lexical))
-    return rows.withColumn("fused", (1 - weight) * min_max(F.col("d"), query) + weight * min_max(F.col("l"), query)).drop("d", "l")
+    ends = rows.groupBy(query).agg(*[f(c).alias(f"{n}_{c}") for c in "dl" for f, n in ((F.min, "low"), (F.max, "high"))])
+    part = lambda c: min_max(F.col(c), F.col(f"low_{c}"), F.col(f"high_{c}"))
+    out = rows.join(ends, query).withColumn("fused", (1 - weight) * part("d") + weight * part("l"))
+    return out.select(*scores.columns, "fused")
 
 
 def tfidf(docs: DataFrame, key: str, text: str, stop: list[str], most: float = 0.6, least: int = 2) -> DataFrame:

@@ -34,7 +34,7 @@ def fill_from_siblings(rows: DataFrame, key: str, order: list, item: str, column
 def audit(corpus: DataFrame, least: int = 10) -> DataFrame:
     """One row of counts: blank rows, equal lyrics, equal title and artist, too few tokens go one after the other."""
     rows = corpus.select("song_id", "title", "artist", "lyrics", F.size(tx.tokens(F.col("lyrics"))).alias("n"), (F.trim(F.coalesce("lyrics", F.lit(""))) == "").alias("blank"))
-    rows = rows.withColumn("h", F.when(~F.col("blank"), F.sha2("lyrics", 256)))
+    rows = rows.withColumn("h", F.when(~F.col("blank"), F.sha2("lyrics", 256)).otherwise(F.concat(F.lit("id:"), F.col("song_id"))))
     rows = rows.withColumn("r1", F.when(F.col("blank"), None).otherwise(F.row_number().over(Window.partitionBy("h").orderBy("song_id"))))
     rows = rows.withColumn("live", F.col("r1") == 1)
     rows = rows.withColumn("r2", F.when(F.col("live"), F.row_number().over(Window.partitionBy("title", "artist", "live").orderBy("song_id"))))
@@ -47,27 +47,24 @@ def audit(corpus: DataFrame, least: int = 10) -> DataFrame:
 
 
 def jaccard_pairs(rows: DataFrame, key: str, text: str, k: int, least: float) -> DataFrame:
-    """(left_id, right_id, jaccard) of rows whose sets of k-character grams are at least as alike as ``least``.
+    """(left_id, right_id, jaccard, left_n, right_n) of distinct texts whose sets of k-character grams are at least as alike as ``least``.
 
-    Only distinct texts are compared; their rows are joined on at the end.  Prefix filtering keeps it exact without meeting all
+    A text is named by its smallest id, and left_n and right_n are the numbers of rows that have it.  Prefix filtering keeps it exact without meeting all
     pairs of a common gram: grams are ordered by their frequency, and two sets that are alike share one of the first
     n - ceil(least * n) + 1 grams of each.
     """
     given = rows.select(F.col(key).alias("id"), F.col(text).alias("text"))
     n = F.length("text")
     grams = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(k)))))
-    sets = given.groupBy("text").agg(F.min("id").alias("t")).select("t", grams.alias("grams"))
+    sets = given.groupBy("text").agg(F.min("id").alias("t"), F.count(F.lit(1)).alias("members")).select("t", "members", grams.alias("grams"))
     exploded = sets.select("t", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     df = exploded.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     place = F.row_number().over(Window.partitionBy("t").orderBy("df", "gram"))
     prefix = exploded.join(df, "gram").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("gram", "t", "n")
     near = prefix.alias("a").join(prefix.alias("b"), "gram").where(f"a.t < b.t AND a.n >= {least} * b.n AND b.n >= {least} * a.n")
     pairs = near.select(F.col("a.t").alias("x_t"), F.col("b.t").alias("y_t")).distinct()
-    out = pairs.join(sets.select(F.col("t").alias("x_t"), F.col("grams").alias("x")), "x_t").join(sets.select(F.col("t").alias("y_t"), F.col("grams").alias("y")), "y_t")
+    side = lambda n, c: sets.select(F.col("t").alias(f"{c}_t"), F.col("grams").alias(c), F.col("members").alias(f"{n}_n"))
+    out = pairs.join(side("left", "x"), "x_t").join(side("right", "y"), "y_t")
     both = F.size(F.array_intersect("x", "y"))
-    scored = out.withColumn("jaccard", both / (F.size("x") + F.size("y") - both)).where(F.col("jaccard") >= least).select("x_t", "y_t", "jaccard")
-    scored = scored.union(sets.select("t", "t", F.lit(1.0)))
-    member = given.withColumn("t", F.min("id").over(Window.partitionBy("text"))).select("id", "t")
-    left, right = member.select(F.col("id").alias("i"), F.col("t").alias("x_t")), member.select(F.col("id").alias("j"), F.col("t").alias("y_t"))
-    every = scored.join(left, "x_t").join(right, "y_t").where("x_t <> y_t OR i < j")
-    return every.select(F.least("i", "j").alias("left_id"), F.greatest("i", "j").alias("right_id"), "jaccard")
+    scored = out.withColumn("jaccard", both / (F.size("x") + F.size("y") - both)).where(F.col("jaccard") >= least)
+    return scored.select(F.col("x_t").alias("left_id"), F.col("y_t").alias("right_id"), "jaccard", "left_n", "right_n")

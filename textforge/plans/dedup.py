@@ -10,8 +10,8 @@ from textforge.operators import survivors as s
 
 from .registry import CORPUS, Tables, query, sql_query
 
-SHA = "sha256(lower(trim(regexp_replace(coalesce(lyrics, ''), '\\s+', ' ', 'g'))))"
-FOLD = "trim(regexp_replace(replace(lower(coalesce({c}, '')), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}_\\x{{0900}}-\\x{{097F}}]+', ' ', 'g'))"
+SHA = "sha256(lower(trim(regexp_replace(nfc_normalize(coalesce(lyrics, '')), '\\s+', ' ', 'g'))))"
+FOLD = "trim(regexp_replace(replace(lower(nfc_normalize(coalesce({c}, ''))), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}_\\x{{0900}}-\\x{{097F}}]+', ' ', 'g'))"
 
 
 @query(f"WITH {CORPUS}, h AS (SELECT song_id, {SHA} AS sha FROM corpus) SELECT sha, count(*) AS n, min(song_id) AS first_id FROM h GROUP BY sha HAVING count(*) > 1")
@@ -72,14 +72,14 @@ def collapse_ranked(t: Tables) -> DataFrame:
     return kept.select("category", "song_id", F.row_number().over(Window.partitionBy("category").orderBy("base")).cast("long").alias("rank"))
 
 
-NAMES = """w AS (SELECT p_partkey AS id, lower(p_name) AS name FROM part), g AS (SELECT DISTINCT id, substr(name, i::BIGINT, 4) AS gram FROM (SELECT id, name, unnest(range(1, greatest(length(name) - 2, 2))) AS i FROM w)),
+NAMES = """w AS (SELECT min(p_partkey) AS id, count(*) AS members, lower(p_name) AS name FROM part GROUP BY lower(p_name)), g AS (SELECT DISTINCT id, substr(name, i::BIGINT, 4) AS gram FROM (SELECT id, name, unnest(range(1, greatest(length(name) - 2, 2))) AS i FROM w)),
 n AS (SELECT id, count(*) AS n FROM g GROUP BY id), j AS (SELECT a.id AS left_id, b.id AS right_id, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.id < b.id GROUP BY ALL),
 s AS (SELECT left_id, right_id, shared / (x.n + y.n - shared)::DOUBLE AS jaccard FROM j JOIN n x ON x.id = left_id JOIN n y ON y.id = right_id)"""
 
 
-@query(f"WITH {NAMES} SELECT left_id, right_id, round(jaccard, 6) AS jaccard FROM s WHERE jaccard >= 0.6")
+@query(f"WITH {NAMES} SELECT left_id, right_id, round(jaccard, 6) AS jaccard, x.members AS left_n, y.members AS right_n FROM s JOIN w x ON x.id = left_id JOIN w y ON y.id = right_id WHERE jaccard >= 0.6")
 def shingle_jaccard_pairs(t: Tables) -> DataFrame:
-    return s.jaccard_pairs(t.part.select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("name")), "id", "name", 4, 0.6).select("left_id", "right_id", F.round("jaccard", 6).alias("jaccard"))
+    return s.jaccard_pairs(t.part.select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("name")), "id", "name", 4, 0.6).select("left_id", "right_id", F.round("jaccard", 6).alias("jaccard"), "left_n", "right_n")
 
 
 @query(f"""WITH {NAMES} SELECT left_id, right_id, CASE WHEN x.p_brand = y.p_brand THEN 'merge_candidate' WHEN jaccard >= 0.9 THEN 'review_title_variant' ELSE 'review' END AS action,

@@ -9,11 +9,11 @@ from textforge.operators import exchange
 
 from .registry import CORPUS, Tables, query
 
-BLOCK = "Label the mood of each song."
+BLOCK = "Tell the mood of every item below."
 
 
-@query(f"""WITH {CORPUS}, e AS (SELECT song_id // 10 AS batch, song_id, '<song id=' || song_id || '> ' || title || ' — ' || coalesce(artist, '') || chr(10) || substr(coalesce(lyrics, ''), 1, 3000) || chr(10) || '</song>' AS entry FROM corpus)
-SELECT batch, CAST(count(*) AS BIGINT) AS songs, md5('{BLOCK}' || chr(10) || chr(10) || '### Songs to label' || chr(10) || string_agg(entry, chr(10) ORDER BY song_id) || chr(10) || chr(10) || 'Label all ' || count(*) || ' songs above. Reply with ONLY the JSON array.') AS prompt_md5
+@query(f"""WITH {CORPUS}, e AS (SELECT song_id // 10 AS batch, song_id, '[item ' || song_id || ']' || chr(10) || 'title: ' || title || chr(10) || 'by: ' || coalesce(artist, '') || chr(10) || substr(coalesce(lyrics, ''), 1, 3000) || chr(10) || '[end]' AS entry FROM corpus)
+SELECT batch, CAST(count(*) AS BIGINT) AS songs, md5('{BLOCK}' || chr(10) || chr(10) || 'Items' || chr(10) || string_agg(entry, chr(10) ORDER BY song_id) || chr(10) || chr(10) || 'Return one JSON list with an object for each of the ' || count(*) || ' items, and nothing else.') AS prompt_md5
 FROM e GROUP BY batch""")
 def label_prompts(t: Tables) -> DataFrame:
     rows = exchange.prompts(t.corpus, F.expr("song_id div 10"), BLOCK)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from textforge.functions import text as tx
 
+from textforge.operators.numbering import numbered
+
 from .registry import Tables, query, sql_query
 
 sql_query("inner_join", "SELECT l.doc_id, l.quality, l.toxic, d.lang, d.source FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id")
@@ -21,7 +23,6 @@ sql_query("full_outer_merge", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, co
 sql_query("first_wins_lookup", "SELECT c.c_custkey, f.o_orderkey FROM {customer} c LEFT JOIN (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM {orders}) f ON f.o_custkey = c.c_custkey AND f.rn = 1")
 sql_query("priority_union", "SELECT k, v FROM (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY source_rank, line DESC) AS rn FROM (SELECT o_custkey AS k, o_orderkey AS v, 1 AS source_rank, o_orderkey AS line FROM {orders} WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, o_orderkey, 2, o_orderkey FROM {orders} WHERE o_orderstatus = 'O') u) x WHERE rn = 1")
 sql_query("positional_join", "SELECT a.rn, a.n_name, b.r_name FROM (SELECT row_number() OVER (ORDER BY n_nationkey) AS rn, n_name FROM {nation}) a JOIN (SELECT row_number() OVER (ORDER BY r_regionkey) AS rn, r_name FROM {region}) b ON a.rn = b.rn")
-sql_query("prefix_guard", "SELECT count(*) AS mismatches FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id FROM {documents}) a WHERE a.pos <> a.doc_id")
 sql_query("groupwise_latest", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) x WHERE rn = 1")
 sql_query("bag_except", "SELECT lang, source FROM {documents} EXCEPT ALL SELECT lang, source FROM {documents} WHERE doc_id % 2 = 0")
 sql_query("set_intersect", "SELECT source, lang FROM {documents} WHERE doc_id % 2 = 0 INTERSECT SELECT source, lang FROM {documents} WHERE doc_id % 3 = 0")
@@ -38,18 +39,44 @@ ORACLE["null_safe_sum"] = "SELECT CAST(coalesce(sum(CASE WHEN quality > 5 THEN q
 sql_query("substring_filter", "SELECT doc_id, source FROM {documents} WHERE contains(lower(source), 'rc1') AND lang = 'en'")
 sql_query("title_search", "SELECT p_partkey, p_name, rank FROM (SELECT p_partkey, p_name, row_number() OVER (ORDER BY CASE WHEN p_name LIKE 'a%' THEN 0 ELSE 1 END, p_name, p_partkey) AS rank FROM {part} WHERE contains(p_name, 'a')) x WHERE rank <= 12")
 sql_query("artist_intent", "SELECT lower(source) AS folded, min(source) AS spelling, count(*) AS n FROM {documents} GROUP BY lower(source) HAVING count(*) >= 2")
-sql_query("append_ids", "SELECT m + row_number() OVER (ORDER BY s_suppkey) AS id, s_name FROM {supplier} CROSS JOIN (SELECT max(c_custkey) AS m FROM {customer}) x")
-sql_query("dense_ids", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id, doc_id FROM {documents} WHERE n_chars > 500")
-sql_query("shard_selection", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM {documents}) x WHERE rn % 4 = 1")
 sql_query("global_order_topk", "SELECT doc_id, source, n_chars, rank FROM (SELECT doc_id, source, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM {documents}) x WHERE rank <= 25")
 sql_query("percentiles", "SELECT round({p}, 6) AS p50, round({q}, 6) AS p99 FROM {lineitem}", p=("percentile(l_extendedprice, 0.5)", "quantile_cont(l_extendedprice, 0.5)"), q=("percentile(l_extendedprice, 0.99)", "quantile_cont(l_extendedprice, 0.99)"))
 sql_query("upper_median", "SELECT source, n_chars AS median FROM (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM {documents}) x WHERE rn = {half} + 1", half=("n DIV 2", "n // 2"))
 sql_query("first_names_joined", "SELECT o_custkey, {agg} AS keys FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM {orders}) x WHERE rn <= 8 GROUP BY o_custkey", agg=("array_join(transform(array_sort(collect_list(struct(rn, o_orderkey))), s -> CAST(s.o_orderkey AS STRING)), '|')", "string_agg(CAST(o_orderkey AS VARCHAR), '|' ORDER BY rn)"))
-sql_query("digest_ids", "SELECT source, {agg} AS digest FROM {documents} GROUP BY source", agg=("sha2(array_join(transform(array_sort(collect_list(doc_id)), x -> CAST(x AS STRING)), ','), 256)", "sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id))"))
-sql_query("percent_split", "SELECT doc_id, CASE WHEN rn * 10 <= n * 8 THEN 'train' ELSE 'test' END AS part FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS STRING)), doc_id) AS rn, count(*) OVER () AS n FROM {documents}) x")
 sql_query("hash_sample", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(concat(CAST(doc_id AS STRING), ':7')), doc_id) AS rn FROM {documents}) x WHERE rn <= 40")
 
 
+sql_query("digest_ids", "SELECT source, count(*) AS n, CAST(sum({part}) AS BIGINT) AS digest FROM {documents} GROUP BY source", part=("CAST(conv(substr(md5(CAST(doc_id AS STRING)), 1, 8), 16, 10) AS BIGINT)", "CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT)"))
+
+
+@query("SELECT count(*) AS mismatches FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id FROM documents) a WHERE a.pos <> a.doc_id")
+def prefix_guard(t: Tables) -> DataFrame:
+    return numbered(t.documents.select("doc_id"), "doc_id").where("number <> doc_id").agg(F.count(F.lit(1)).alias("mismatches"))
+
+
+@query("SELECT m + row_number() OVER (ORDER BY s_suppkey) AS id, s_name FROM supplier CROSS JOIN (SELECT max(c_custkey) AS m FROM customer) x")
+def append_ids(t: Tables) -> DataFrame:
+    top = t.customer.agg(F.max("c_custkey").alias("m"))
+    return numbered(t.supplier.select("s_suppkey", "s_name"), "s_suppkey").crossJoin(F.broadcast(top)).select((F.col("m") + F.col("number") + 1).alias("id"), "s_name")
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id, doc_id FROM documents WHERE n_chars > 500")
+def dense_ids(t: Tables) -> DataFrame:
+    return numbered(t.documents.where("n_chars > 500").select("doc_id"), "doc_id").select(F.col("number").alias("id"), "doc_id")
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM documents) x WHERE rn % 4 = 1")
+def shard_selection(t: Tables) -> DataFrame:
+    return numbered(t.documents.select("doc_id"), "doc_id").where("number % 4 = 1").select("doc_id")
+
+
+@query("SELECT doc_id, CASE WHEN rn * 10 <= n * 8 THEN 'train' ELSE 'test' END AS part FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS rn, count(*) OVER () AS n FROM documents) x")
+def percent_split(t: Tables) -> DataFrame:
+    rows = t.documents.select("doc_id", F.md5(F.col("doc_id").cast("string").cast("binary")).alias("key"))
+    n = rows.agg(F.count(F.lit(1)).alias("n"))
+    return numbered(rows, "key", "doc_id").crossJoin(F.broadcast(n)).select("doc_id", F.when((F.col("number") + 1) * 10 <= F.col("n") * 8, "train").otherwise("test").alias("part"))
+
+
 WINDOWS = "w AS (SELECT doc_id, i AS win, i * 40 AS a, i * 40 + 80 AS b, (doc_id + i) % 10 AS p FROM (SELECT doc_id, unnest(range(0, CASE WHEN length(text) <= 80 THEN 1 ELSE CAST(ceil((length(text) - 80) / 40.0::DOUBLE) AS BIGINT) + 1 END)) AS i FROM documents)), l AS (SELECT doc_id, line, a, a + n AS b FROM (SELECT doc_id, line, n, coalesce(sum(n + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM (SELECT doc_id, generate_subscripts(parts, 1) AS line, length(unnest(parts)) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))) WHERE n > 0)"
 
 

@@ -44,9 +44,8 @@ def fuzzy_expand(t: Tables) -> DataFrame:
     """Expansions of query tokens that are unknown or in at most ten documents, by terms as rare."""
     df = t.documents.select(F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     queries = t.benchmark.select(F.explode(F.slice(tx.tokens(F.col("text")), 1, 8)).alias("token")).where("length(token) >= 3").distinct()
-    queries = queries.join(df.where("df > 10").select(F.col("term").alias("token")), "token", "left_anti")
-    vocabulary = df.where("df <= 10 AND length(term) >= 3").select("term")
-    return fuzzy.expand(queries, vocabulary)
+    queries = queries.join(df.withColumnRenamed("term", "token"), "token", "left").select("token", F.coalesce("df", F.lit(0)).alias("df")).where("df <= 10")
+    return fuzzy.expand(queries, df.where("length(term) >= 3"))
 
 
 @query()

@@ -16,12 +16,13 @@ sql_query("last_runs", "SELECT user_id, max(CASE WHEN event_type = 'purchase' TH
 
 @query()
 def bootstrap_ci(t: Tables) -> DataFrame:
-    """Confidence interval of the mean length of labelled documents over 200 resamples."""
-    return assets.bootstrap(t.documents.join(t.labels, "doc_id").select(F.col("n_chars").cast("double").alias("x")), 200)
+    """The mean difference of quality and toxicity over labelled documents, with its interval over 2,000 paired resamples."""
+    return assets.paired_bootstrap(t.labels.select("doc_id", (F.col("quality") - F.col("toxic")).cast("double").alias("x")), "doc_id")
 
 
 @query()
 def asset_toposort(t: Tables) -> DataFrame:
+    """The graph is a list of steps, bounded by what people define."""
     rows = t.nation.select(F.col("n_nationkey").alias("child"), (F.col("n_nationkey") - 1 - F.col("n_regionkey")).alias("parent"))
     graph = {str(r.child): [str(r.parent)] if r.parent >= 0 else [] for r in rows.collect()}
     return t.spark.createDataFrame(list(enumerate(assets.topological(graph))), "place long, asset string")

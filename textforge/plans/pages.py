@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textforge.functions import text as tx
-from textforge.sources import html
+from textforge.sources import adapters, html
+from textforge.sources.files import locations
 
 from .registry import Tables, query, sql_query
 
@@ -61,3 +62,21 @@ def acceptance(t: Tables) -> DataFrame:
     hits = F.size(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), F.lit(0)), lambda x: x.isin("the", "de", "und", "la")))
     verdict = F.when(F.length("text") < 120, "too_short").when(F.col("text").rlike("[\\x{0900}-\\x{097F}]"), "ok").when(hits >= 2, "ok").otherwise("script_rejected")
     return t.documents.select("doc_id", verdict.alias("verdict"))
+
+
+@query("SELECT page_id, coalesce(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '') LIKE '%.org' AND contains(url, '/') AND NOT contains(lower(url), 'casino') AS allowed FROM pages")
+def allowed_urls(t: Tables) -> DataFrame:
+    hosts = [r.h for r in t.pages.select(F.lower(F.try_parse_url("url", F.lit("HOST"))).alias("h")).where("h LIKE '%.org' AND h NOT LIKE '%casino%'").distinct().limit(1000).collect()]
+    return t.pages.select("page_id", adapters.allowed(F.col("url"), hosts, "/", ["casino"]).alias("allowed"))
+
+
+@query()
+def site_titles(t: Tables) -> DataFrame:
+    raw = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    kinds = F.when(F.col("page_id") % 4 == 0, F.concat(raw, F.lit(" Lyrics by Some One"))).when(F.col("page_id") % 4 == 1, F.concat(raw, F.lit(" | Some One | Site"))).when(F.col("page_id") % 4 == 2, F.concat(raw, F.lit(" - Lyrics"))).otherwise(raw)
+    return t.pages.select("page_id", adapters.title_artist(kinds).alias("x"), adapters.slug_title(F.col("url")).alias("slug")).select("page_id", "x.title", "x.artist", "slug")
+
+
+@query("SELECT list_sort(list_distinct(list_concat(regexp_extract_all(html, '<loc>\\s*([^<\\s]+)\\s*</loc>', 1), regexp_extract_all(html, 'href=[\"'']([^\"''#]+)', 1)))) AS links, page_id FROM pages")
+def page_locations(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", locations(F.col("html")).alias("links"))

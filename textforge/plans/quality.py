@@ -17,7 +17,7 @@ LABELS = q.Contract("labels", {"doc_id": q.Field("int", nullable=False, least=0)
 @query("""SELECT unnest(['doc_id:not_null', 'doc_id:numeric', 'doc_id:integral', 'doc_id:minimum', 'quality:not_null', 'quality:numeric', 'quality:integral', 'quality:allowed', 'toxic:numeric', 'toxic:integral', 'toxic:allowed', 'key:unique', 'columns:missing', 'columns:extra']) AS "check",
 unnest([count_if(doc_id IS NULL), 0, 0, count_if(doc_id < 0), count_if(quality IS NULL), 0, 0, count_if(quality NOT IN (0, 1)), 0, 0, count_if(toxic NOT IN (0)), (SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM labels GROUP BY doc_id HAVING count(*) > 1)), 1, 0])::BIGINT AS failures FROM labels""")
 def contract_report(t: Tables) -> DataFrame:
-    return q.validate(t.labels, LABELS)
+    return q.validate(t.labels, LABELS).select("check", "failures")
 
 
 @query("""WITH m AS (SELECT unnest(['rows', 'empty_share', 'sources', 'coverage']) AS metric, unnest([count(*)::DOUBLE, avg(CASE WHEN trim(coalesce(text, '')) = '' THEN 1 ELSE 0 END), count(DISTINCT source)::DOUBLE, (SELECT count(*) FROM labels) / count(*)::DOUBLE]) AS value FROM documents)

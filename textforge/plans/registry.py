@@ -70,5 +70,5 @@ def sql_query(name: str, text: str, **dialect: tuple[str, str]) -> None:
     ORACLE[name] = theirs
 
 
-for _name in ("retrieval", "dedup", "vectors", "quality", "joins", "events", "queues", "pages", "lexicon", "mood", "ops", "exchange", "cleaning", "matching"):
+for _name in ("retrieval", "dedup", "vectors", "quality", "joins", "events", "queues", "pages", "lexicon", "mood", "ops", "exchange", "cleaning", "matching", "state", "services"):
     importlib.import_module(f"textforge.plans.{_name}")

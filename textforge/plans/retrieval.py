@@ -80,13 +80,14 @@ def tfidf_keywords(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH dt AS (SELECT DISTINCT doc_id, unnest({DTOK}) AS term FROM documents), st AS (SELECT term, count(*) AS df FROM dt GROUP BY term),
-tot AS (SELECT count(*) AS n FROM documents), q AS (SELECT item_id, unnest({BTOK}[1:3]) AS term FROM benchmark),
+tot AS (SELECT count(*) AS n FROM documents), q AS (SELECT item_id, unnest(CASE item_id % 4 WHEN 0 THEN {BTOK}[1:1] WHEN 1 THEN {BTOK}[1:2] ELSE {BTOK} END) AS term FROM benchmark),
 a AS (SELECT item_id, count(df) AS known, min(CASE WHEN df IS NOT NULL THEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) END) AS low,
   coalesce(bool_or(regexp_matches(term, '[\\x{{0900}}-\\x{{097F}}]')), false) AS devanagari FROM q LEFT JOIN st USING (term) CROSS JOIN tot GROUP BY item_id)
 SELECT item_id, known, CASE WHEN known < 2 THEN false WHEN known >= 3 THEN true ELSE devanagari AND low >= 2.5 END AS fuse FROM a""")
 def should_fuse_gate(t: Tables) -> DataFrame:
     stats = r.term_stats(r.postings(t.documents, "doc_id", "text"), t.documents.agg(F.count(F.lit(1)).alias("n"))).select("term", "df", "idf")
-    words = t.benchmark.select("item_id", F.explode(F.slice(tx.tokens(F.col("text")), 1, 3)).alias("term"))
+    tokens, short = tx.tokens(F.col("text")), F.col("item_id") % 4  # passages of one and two words, and whole ones
+    words = t.benchmark.select("item_id", F.explode(F.when(short == 0, F.slice(tokens, 1, 1)).when(short == 1, F.slice(tokens, 1, 2)).otherwise(tokens)).alias("term"))
     rows = words.join(stats, "term", "left").groupBy("item_id").agg(F.count("df").alias("known"), F.min("idf").alias("low"), F.bool_or(F.col("term").rlike("[\\x{0900}-\\x{097F}]")).alias("devanagari"))
     fuse = F.when(F.col("known") < 2, False).when(F.col("known") >= 3, True).otherwise(F.col("devanagari") & (F.col("low") >= 2.5))
     return rows.select("item_id", "known", fuse.alias("fuse"))
@@ -128,14 +129,20 @@ PASSAGES = "rel AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d
 
 
 def relevant(t: Tables) -> DataFrame:
-    """(item_id, doc_id) of documents that hold a passage: found by its rarest word, then verified."""
-    words = t.benchmark.select("item_id", F.col("text").alias("passage"), F.array_distinct(F.filter(F.split("text", "[^\\p{L}\\p{N}]+"), lambda x: x != "")).alias("words"))
-    docs = t.documents.select("doc_id", F.explode(F.array_distinct(F.split("text", "[^\\p{L}\\p{N}]+"))).alias("word"))
-    inner = words.select("item_id", "passage", F.explode(F.slice("words", 2, 100)).alias("word"))
-    df = docs.select("doc_id", "word").join(inner.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    """(item_id, doc_id) of documents that hold a passage: found by its rarest inner word, then verified.
+
+    A passage's first and last word may be parts of longer ones in a document; passages of no inner word, which are few and
+    short, are looked for in every document.
+    """
+    cut = lambda c: F.filter(F.split(c, "[^\\p{L}\\p{N}]+"), lambda x: x != "")
+    words = t.benchmark.select("item_id", F.col("text").alias("passage"), cut(F.col("text")).alias("w"))
+    inner = words.where("size(w) > 2").select("item_id", "passage", F.explode(F.array_distinct(F.slice("w", F.lit(2), F.size("w") - 2))).alias("word"))
+    docs = t.documents.select("doc_id", F.explode(F.array_distinct(cut(F.col("text")))).alias("word"))
+    df = docs.join(inner.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     rare = inner.join(df, "word", "left").withColumn("n", F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "word"))).where("n = 1")
-    found = docs.join(rare.select("item_id", "passage", "word"), "word").join(t.documents.select("doc_id", "text"), "doc_id")
-    return found.where(F.contains("text", "passage")).select("item_id", "doc_id").distinct()
+    found = docs.join(rare.select("item_id", "passage", "word"), "word").join(t.documents.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage"))
+    short = words.where("size(w) <= 2").join(t.documents.select("doc_id", "text"), F.contains("text", "passage"))
+    return found.select("item_id", "doc_id").union(short.select("item_id", "doc_id")).distinct()
 
 
 @query(f"""WITH {BM25}, {PASSAGES},

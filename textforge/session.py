@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 HERE = Path(__file__).resolve().parent
 
@@ -36,3 +36,15 @@ def ship(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":  # rows are whole documents here: the default would make batches of tens of megabytes
         spark.conf.set(key, "2000")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The table cut off from its plan, in the folder that the cluster names in ``spark.checkpoint.dir``; only where that's unset and
+    all runs on one machine, in a temporary one."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        where = context.getConf().get("spark.checkpoint.dir")
+        if not where and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="textforge-"))
+    return df.checkpoint()
