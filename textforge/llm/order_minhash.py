@@ -81,7 +81,8 @@ def with_bucket(docs: DataFrame) -> DataFrame:
     below = lambda op: F.expr(f"aggregate(array({steps}), 0, (at, step) -> IF(get({array}, at + step - 1) {op} v, at + step, at))")
     rows = rows.withColumn("lt", below("<")).withColumn("le", below("<="))
     share = F.floor(F.expr("shiftrightunsigned(h, 11) / 9007199254740992D") * (F.col("le") - F.col("lt")))
-    return rows.withColumn("bucket", F.col("lt") + share.cast("int")).drop("lt", "le")
+    # Never null, so that no filter is pushed below one of two uses of the buckets, which then share a shuffle.
+    return rows.withColumn("bucket", F.coalesce(F.col("lt") + share.cast("int"), F.lit(0))).drop("lt", "le")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
