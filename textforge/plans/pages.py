@@ -77,6 +77,6 @@ def site_titles(t: Tables) -> DataFrame:
     return t.pages.select("page_id", adapters.title_artist(kinds).alias("x"), adapters.slug_title(F.col("url")).alias("slug")).select("page_id", "x.title", "x.artist", "slug")
 
 
-@query("SELECT list_sort(list_distinct(list_concat(regexp_extract_all(html, '<loc>\\s*([^<\\s]+)\\s*</loc>', 1), regexp_extract_all(html, 'href=[\"'']([^\"''#]+)', 1)))) AS links, page_id FROM pages")
+@query("SELECT array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(html, '<loc>\\s*([^<\\s]+)\\s*</loc>', 1), regexp_extract_all(html, 'href=[\"'']([^\"''#]+)', 1)))), ' ') AS links, page_id FROM pages")
 def page_locations(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", locations(F.col("html")).alias("links"))
+    return t.pages.select("page_id", F.array_join(locations(F.col("html")), " ").alias("links"))

@@ -74,7 +74,8 @@ def title_artist(raw: Column) -> Column:
 def slug_title(url: Column) -> Column:
     """The last part of an address as words."""
     last = F.regexp_extract(F.regexp_replace(url, "[?#].*$|/+$", ""), "([^/]+)$", 1)
-    return F.initcap(F.trim(F.regexp_replace(F.regexp_replace(last, "(?i)\\.html?$|[-_]lyrics?$", ""), "[-_]+", " ")))
+    plain = F.regexp_replace(F.regexp_replace(last, "(?i)\\.html?$", ""), "(?i)[-_]lyrics?$", "")
+    return F.initcap(F.trim(F.regexp_replace(plain, "[-_]+", " ")))
 
 
 def allowed(url: Column, hosts: list[str], prefix: str, forbidden: list[str]) -> Column:
