@@ -10,7 +10,7 @@ each row that still has a ranked pair.  Pieces beyond WIDE bytes get a tree of t
 the same.
 
 Results of words are kept between documents in a bounded memo, which is emptied when full.  Null texts are empty texts and
-have no ids.
+have no ids; very long ones are whole.  Of pairs of equal rank the leftmost merges first, and rows that repeat have one result each.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ emits itself and its 64 one-bit variants, and fingerprints that meet at a varian
 fingerprints meet at one variant; there each is linked with the smallest, which keeps the groups whole without all pairs.
 Links are made between distinct fingerprints, whatever the number of documents that share one, and verified by a bit count.
 
-Null and empty texts, and texts of white space, have the fingerprint 0.  Null doc_ids count as larger than all others.
+Null and empty texts, and texts of white space, have the fingerprint 0; texts are whole whatever their length; a bit set in exactly half of the
+shingles is 0.  Rows that repeat have one fingerprint and one group.  Null doc_ids count as larger than all others: a group of nothing
+else has a null component_id.  Columns but doc_id and text, whatever their names, are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
