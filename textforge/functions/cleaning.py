@@ -106,8 +106,7 @@ def echoes_title(line: Column, variants: Column) -> Column:
 
 def metadata_words(line: Column, words: Iterable[str] = METADATA) -> Column:
     """The number of a line's tokens that are words of sites and credits."""
-    known = _set(words)
-    return F.size(F.filter(F.split(match_form(line), " "), lambda t: F.array_contains(known, t)))
+    return F.regexp_count(match_form(line), F.lit(f"(?:^| ){_any(words)}(?= |$)"))
 
 
 def english_prose(line: Column, forms: Iterable[str], least: int = 6, share: float = 0.7) -> Column:
