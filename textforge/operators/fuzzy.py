@@ -110,12 +110,21 @@ def expand(queries: DataFrame, vocabulary: DataFrame, pool: int = 200, least: fl
 
 
 def best_match(left: DataFrame, right: DataFrame, least: float = 60.0) -> DataFrame:
-    """(left_id, right_id, score): the best token-set match among names that share a token; equal names first."""
-    words = lambda df, n: df.select(f"{n}_id", f"{n}_name", F.explode(F.array_distinct(F.split(f"{n}_name", " "))).alias("word"))
-    pairs = words(left, "left").join(words(right, "right"), "word").where("left_id <> right_id").select("left_id", "left_name", "right_id", "right_name").distinct()
+    """(left_id, right_id, score): the best token-set match among names that share a token; equal names first.
+
+    Distinct names are compared, not their rows.  A row only has to avoid its own id, so the two smallest ids of a right name and the
+    two best of a left one are enough.
+    """
+    words = lambda df, n: df.select(f"{n}_name").distinct().select(f"{n}_name", F.explode(F.array_distinct(F.split(f"{n}_name", " "))).alias("word"))
+    pairs = words(left, "left").join(words(right, "right"), "word").select("left_name", "right_name").distinct()
     rated = pairs.withColumn("score", token_set_ratio("left_name", "right_name")).where(F.col("score") >= least)
-    w = Window.partitionBy("left_id").orderBy(F.desc(F.col("left_name") == F.col("right_name")), F.desc("score"), "right_id")
-    return rated.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("left_id", "right_id", F.round("score", 6).alias("score"))
+    ids = right.select("right_id", "right_name").where("right_id IS NOT NULL").distinct()
+    ids = ids.withColumn("rn", F.row_number().over(Window.partitionBy("right_name").orderBy("right_id"))).where("rn <= 2").drop("rn")
+    each = rated.join(ids, "right_name").groupBy("left_name", "right_id").agg(F.max(F.struct((F.col("left_name") == F.col("right_name")).alias("same"), "score")).alias("m"))
+    order = [F.desc("m.same"), F.desc("m.score"), "right_id"]
+    two = each.withColumn("rn", F.row_number().over(Window.partitionBy("left_name").orderBy(*order))).where("rn <= 2").drop("rn")
+    met = left.select("left_id", "left_name").join(two, "left_name").where("left_id <> right_id")
+    return met.withColumn("rn", F.row_number().over(Window.partitionBy("left_id").orderBy(*order))).where("rn = 1").select("left_id", "right_id", F.round("m.score", 6).alias("score"))
 
 
 def text_similarity(a: str, b: str) -> Column:
