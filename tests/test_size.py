@@ -42,3 +42,32 @@ def test_best_match_as_by_pairs(spark, names):
             want[i] = min(near)[2]
     side = lambda n: spark.createDataFrame(rows, f"{n}_id long, {n}_name string")
     assert {r.left_id: r.right_id for r in fuzzy.best_match(side("left"), side("right")).collect()} == want
+
+
+def test_attribution_sums_in_order(spark, tmp_path):
+    """Long lines take many windows: sums by window, then by line, whatever order rows come in."""
+    from textforge.operators import attribution
+
+    labels, bias = ["joy", "sadness", "anger"], [-0.08, -0.12, 0.12]
+    texts = [(k, "\n".join("x" * ((k * 37 + j * 91) % 700) for j in range(1 + k % 9))) for k in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    scores = [(k, i, ((k + i) % 10) / 10.0, ((k + 3 * i) % 7) / 7.0, 1 - ((k + i) % 10) / 10.0) for k, t in texts for i in range(1 if len(t) <= 80 else -((80 - len(t)) // 40) + 1)]
+    want = {}
+    for k, t in texts:
+        own, at, rows = {r[1]: r[2:] for r in scores if r[0] == k}, 0, []
+        for n, part in enumerate(t.split("\n"), 1):
+            a, b, at = at, at + len(part), at + len(part) + 1
+            over = [(i, min(i * 40 + 80, b) - max(i * 40, a)) for i in sorted(own) if min(i * 40 + 80, b) > max(i * 40, a)]
+            if b > a:
+                sums = [0.0] * 3
+                for i, w in over:
+                    sums = [s + w * x for s, x in zip(sums, own[i])]
+                rows.append((n, a, b, [s / sum(w for _, w in over) + c for s, c in zip(sums, bias)]))
+        if rows:
+            want[k] = [(n, a, b, "neutral" if max(v) < 0.55 else labels[v.index(max(v))]) for n, a, b, v in rows]
+    table = spark.createDataFrame(scores, "doc_id long, i long, joy double, sadness double, anger double").orderBy(F.desc("i"))
+    got = {r.doc_id: [tuple(x) for x in r.lines] for r in attribution.attributed(docs, "doc_id", "text", table, labels, bias).collect()}
+    assert got == want
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    digests = {r.doc_id: r.n_lines for r in registry.QUERIES["attribution_payload"](spark, str(tmp_path)).collect()}
+    assert digests == {k: len(v) for k, v in want.items()}
