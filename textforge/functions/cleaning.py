@@ -70,11 +70,15 @@ def match_form(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), f"(?U)[^\\w\\s{DEVANAGARI}]", " "), "(?U)\\s+", " "))
 
 
-def clean_title(title: Column) -> Column:
-    """A tidy title without "lyrics of", what follows a lyrics or chords marker (if anything is left), and language suffixes."""
-    of = "(?iU)^\\s*lyrics?\\s+of\\s+(.+?)(?:\\s+(?:from|by|in)\\b.*)?$"
+def clean_title(title: Column, ascii_words: bool = False) -> Column:
+    """A tidy title without "lyrics of", what follows a lyrics or chords marker (if anything is left), and language suffixes.
+
+    ``ascii_words``: words end where ASCII letters, digits and underscores do, as in SQL; else letters of all scripts belong to them.
+    """
+    before, after = ("(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])") if ascii_words else ("\\b", "\\b")
+    of = f"(?iU)^\\s*lyrics?\\s+of\\s+(.+?)(?:\\s+(?:from|by|in){after}.*)?$"
     title = F.when(title.rlike(of), F.regexp_replace(F.regexp_extract(title, of, 1), EDGE, "")).otherwise(title)
-    marker = "(?iU)\\s*[(\\[/\\-\u2013\u2014,]*\\s*\\b(?:official\\s+)?(?:lyric\\s*video|lyrics?(?:\\s*(?:and|&|/|,)?\\s*(?:chords?|music|video))?|chords?)\\b.*$"
+    marker = f"(?iU)\\s*[(\\[/\\-\u2013\u2014,]*\\s*{before}(?:official\\s+)?(?:lyric\\s*video|lyrics?(?:\\s*(?:and|&|/|,)?\\s*(?:chords?|music|video))?|chords?){after}.*$"
     cut = F.regexp_replace(F.regexp_replace(title, marker, ""), EDGE, "")
     title = F.when(cut != "", cut).otherwise(title)
     return F.regexp_replace(F.regexp_replace(title, "(?iU)\\s*[(\\-\u2013\u2014,]*\\s*(?:romanized|nepali song|nepali lyrics)\\s*\\)?\\s*$", ""), EDGE, "")
