@@ -93,3 +93,37 @@ def test_titles_end_words_as_sql_does(spark, tmp_path):
     titles = ["Enkeit und inözutz bepf", "Erie inßverbe enöen", "Ab in cd", "öLyrics x", "A Lyrics"]
     rows = [(5 * i + j, "http://a/", f"<title>{x}</title>") for i, x in enumerate(titles) for j in range(5)]
     _against_sql(spark, tmp_path, "title_clean", pages=spark.createDataFrame(rows, "page_id long, url string, html string"))
+
+
+def test_nearest_as_by_pairs(spark):
+    """Ties, copies, repeated ids, null vectors and batches of several blocks, against all pairs."""
+    import numpy as np
+
+    from textforge.operators import vectors
+
+    draw = np.random.default_rng(5)
+    v = [[float(x) for x in draw.integers(-2, 3, 3)] for _ in range(5000)]
+    v[17], v[200] = None, [1.0, None, 2.0]
+    rows = [(i if i != 4999 else 100, x, (i % 5) / 10) for i, x in enumerate(v)]
+    items = spark.createDataFrame(rows, "id long, v array<double>, plus double").repartition(3)
+    queries = items.where("id % 500 = 0 AND id < 2000").selectExpr("id AS q_id", "v AS q")
+    dot = lambda a, b: None if a is None or b is None or None in a or None in b else sum(x * y for x, y in zip(a, b))
+    asked = [(i, x) for i, x, _ in rows if i % 500 == 0 and i < 2000]
+    for others, merge, weight, plus in ((True, False, 1.0, None), (False, False, 0.5, "plus"), (False, True, 1.0, None)):
+        left = items.withColumn("id", F.expr("id DIV 4")) if merge else items
+        got = vectors.nearest(queries, left, "q_id", "id", 7, 6, others, merge, weight, plus)
+        if merge:
+            got = got.groupBy("q_id", "id").agg(F.max("score").alias("score"))
+        ranked = {}
+        for r in got.collect():
+            ranked.setdefault(r.q_id, []).append((-(r.score if r.score is not None else -1e9), r.id))
+        for q, x in asked:
+            near = [(-(weight * s + (p if plus else 0)) if s is not None else 1e9, i // 4 if merge else i) for i, y, p in rows if not (others and i == q) for s in [dot(x, y)]]
+            if merge:
+                best = {}
+                for s, i in near:
+                    best[i] = min(s, best.get(i, 1e9))
+                near = [(s, i) for i, s in best.items()]
+            assert [(round(s, 6), i) for s, i in sorted(ranked[q])[:7]] == [(round(s, 6), i) for s, i in sorted(near, key=lambda z: (round(z[0], 6), z[1]))[:7]]
+    every = vectors.scored_pairs(queries, items, "q_id", "id").collect()
+    assert len(every) == len(asked) * 5000 and sum(r.score is None for r in every) == 2 * len(asked)
