@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fuzzy import grams
-from .vectors import dot, unit
+from .vectors import dot, scored_pairs, unit
 
 
 def cosine_links(rows: DataFrame, key: str, vector: str, least: float, pivots: int = 16, blocks: int = 8) -> DataFrame:
@@ -17,9 +17,13 @@ def cosine_links(rows: DataFrame, key: str, vector: str, least: float, pivots: i
     A vector's home is the cell of its nearest pivot; it visits every cell whose pivot is farther by no more than twice the angle
     asked for, where by the triangle inequality all its partners have their homes.  Cells are dealt out in blocks of home
     rows, so that a large one is spread over tasks.  The pivots, the rows of smallest hash, are a list of fixed length.
+    Beyond a right angle cells leave out next to nothing, so that all pairs are multiplied in blocks.
     """
     reach = 2 * math.acos(least) + 1e-6
     unit_rows = rows.select(F.col(key).alias("k"), unit(F.col(vector)).alias("v"))
+    if reach > math.pi / 2:
+        both = scored_pairs(unit_rows.select(F.col("k").alias("a"), F.col("v").alias("q")), unit_rows.select(F.col("k").alias("b"), "v"), "a", "b", least)
+        return both.where("a < b").groupBy("a", "b").agg(F.max("score").alias("score"))
     chosen = unit_rows.orderBy(F.md5(F.col("k").cast("string")), "k").limit(pivots).select(F.col("k").alias("p"), F.col("v").alias("pv"))
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("v"), F.col("pv")))))
     far = unit_rows.join(F.broadcast(chosen), F.lit(True)).select("k", "v", F.struct(angle.alias("d"), "p").alias("at"))
