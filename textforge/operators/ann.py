@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .retrieval import top_k
-from .vectors import dot, unit
+from .vectors import dot, nearest, unit
 
 #: Rows that the centres are fitted to, and rows from which an index beats reading all.
 SAMPLE, LARGE = 4096, 50_000
@@ -51,9 +51,9 @@ def build(rows: DataFrame, key: str, vector: str, at: np.ndarray) -> DataFrame:
 
 def search(index: DataFrame, queries: DataFrame, at: np.ndarray, key: str, qid: str, vector: str, k: int, probes: int) -> DataFrame:
     """(qid, key, score, rank): the k best of the ``probes`` nearest cells of each query."""
-    q = _cells(queries.select(F.col(qid), unit(F.col(vector)).alias("__q")), at, "__q").select(qid, "__q", F.explode(F.slice("order", 1, probes)).alias("cell"))
-    scored = index.join(q, "cell").withColumn("score", F.round(dot(F.col("__q"), F.col("v")), 6)).select(qid, key, "score")
-    return top_k(scored, qid, key, "score", k)
+    q = _cells(queries.select(F.col(qid).alias("__id"), unit(F.col(vector)).alias("q")), at, "q").select("__id", "q", F.explode(F.slice("order", 1, probes)).alias("cell"))
+    found = nearest(q, index.select(key, "v", "cell").sortWithinPartitions("cell"), "__id", key, k, others=False, cell="cell").withColumnRenamed("__id", qid)
+    return top_k(found.withColumn("score", F.round("score", 6)), qid, key, "score", k)
 
 
 def recall(found: DataFrame, exact: DataFrame, qid: str, key: str) -> DataFrame:
