@@ -98,6 +98,42 @@ def _against_sql(spark, tmp_path, name, **tables):
     assert sorted(got) == sorted(c.execute(registry.ORACLE[name]).fetchall())
 
 
+def test_similar_vectors_as_in_sql(spark, tmp_path):
+    """Copies, one pair whose cosine is 9/20, and classes beyond one link."""
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    v = [[float(x) for x in draw.integers(1, 9, 5) * draw.choice([-1, 1], 5)] for _ in range(60)] + [[1000.0, 0.0, 0.0, 0.0, 0.0], [-9.0, 17.0, 5.0, 2.0, 1.0], [-1000.0, 0.0, 0.0, 0.0, 0.0]]
+    rows = [(3 * i + 1, x, i % 4) for i, x in enumerate(v + v[:9] + v[2:4])]
+    _against_sql(spark, tmp_path, "similar_vectors", embeddings=spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+
+
+def test_similar_vectors_of_one_large_group(spark, tmp_path):
+    """6,000 vectors near one another have 18 million links: none is a row, and few jobs run."""
+    near = [F.lit(1.0), F.col("id") / 1e5, F.lit(0.0), F.lit(0.0)]
+    apart = [F.lit(0.0), F.lit(0.0), F.cos(F.col("id").cast("double")), F.sin(F.col("id").cast("double"))]
+    rows = spark.range(6003).select(F.col("id").alias("vec_id"), F.when(F.col("id") < 6000, F.array(*near)).otherwise(F.array(*apart)).cast("array<float>").alias("embedding"), F.lit(1).alias("label"))
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("similar"))
+    spark.sparkContext.setJobGroup("similar", "")
+    try:
+        got = {r.vec_id: (r.class_id, r.links) for r in registry.QUERIES["similar_vectors"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Of the three others, a radian apart, those next to one another are linked.
+    assert got == {i: (0, 5999) for i in range(6000)} | {6000: (6000, 1), 6001: (6000, 2), 6002: (6000, 1)}
+    assert jobs() <= 30
+
+
+@pytest.mark.parametrize("at_once", [0, 100])
+def test_components_by_rounds_and_at_once(spark, at_once):
+    from textforge.operators import graph
+
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(60, 50), (50, 70), (80, 80)], "a long, b long")
+    got = {r.node: r.group for r in graph.components(links, spark.range(90).withColumnRenamed("id", "node"), at_once=at_once).collect()}
+    assert got == {i: 0 if i <= 40 else 50 if i in (50, 60, 70) else i for i in range(90)}
+
+
 def test_compaction_of_titles_that_fold_alike(spark, tmp_path):
     titles = ["Groß", "Gross", "café", "café", "cafe", "Same", "same", "a\x0bb", "a b"]
     rows = [(i, f"{x}\n" + f"word{i // 2 * 2} " * 30, "en", ["src0", "src1", None, ""][i % 4 if i > 6 else 0], 200) for i, x in enumerate(titles)]

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import graph
 from .fuzzy import grams
 from .vectors import dot, scored_pairs, unit
 
@@ -35,6 +38,60 @@ def cosine_links(rows: DataFrame, key: str, vector: str, least: float, pivots: i
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
+def cosine_groups(rows: DataFrame, key: str, vector: str, copies: str, least: float, block: int = 4096) -> DataFrame:
+    """(node, far, low) for each vector and each block where it has links at a cosine of ``least`` or more: their number, counted by the
+    other's ``copies``, and the smallest node that links of these two blocks reach.  Whole numbers as keys.
+
+    All pairs are multiplied, a task holding two blocks; a link isn't a row, so that what leaves a task grows with its vectors, however
+    many are alike.  Null vectors and those with nulls have no links, nor have vectors of different lengths.
+    """
+    valid = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
+    parts = max(2, math.ceil(valid.count() / block))
+    kind = np.float32 if "float" in rows.schema[vector].dataType.simpleString() else np.float64
+    sides = valid.select(F.col(key).cast("long").alias("k"), F.col(copies).cast("long").alias("n"), F.col(vector).alias("v"), F.size(vector).alias("dims"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("block"))
+
+    def pack(t: pa.Table) -> pa.Table:
+        flat = t["v"].combine_chunks().flatten().cast("double").to_numpy(zero_copy_only=False)
+        return pa.table({"dims": t["dims"][:1], "block": t["block"][:1], "k": pa.array([t["k"].to_numpy()]), "n": pa.array([t["n"].to_numpy()]), "v": pa.array([flat.astype(kind).tobytes()], pa.binary())})
+
+    def meet(t: pa.Table) -> pa.Table:
+        i, j, dims = (t[c][0].as_py() for c in ("i", "j", "dims"))
+        none = {"node": pa.array([], pa.int64()), "far": pa.array([], pa.int64()), "low": pa.array([], pa.int64())}
+        if i != j and len(t) == 1:  # the other block has no vectors of this length
+            return pa.table(none)
+        k, n = (np.concatenate([x.values.to_numpy() for x in t[c]]) for c in ("k", "n"))
+        v = np.concatenate([np.frombuffer(x.as_buffer(), kind).reshape(len(y.values), dims) for x, y in zip(t["v"], t["k"], strict=True)]).astype(float)
+        cut = len(t["k"][0].values) if i != j else 0  # places before it meet those from it on
+        length = np.sqrt((v * v).sum(axis=1))
+        unit_v = v / np.where(length > 0, length, 1.0)[:, None]
+        place = np.argsort(np.argsort(k, kind="stable"), kind="stable")  # places in the order of nodes
+        parent, far = np.arange(len(k)), np.zeros(len(k))
+        for a in range(0, cut or len(k), 256):
+            b = min(a + 256, cut or len(k))
+            s = unit_v[a:b] @ unit_v[cut:].T
+            r, c = np.nonzero(s >= least - 1e-9)
+            s, r, c = s[r, c], r + a, c + cut
+            near = np.flatnonzero(s <= least + 1e-9)
+            for e in (near[x : x + 10_000] for x in range(0, len(near), 10_000)):  # on the edge: summed up and divided as SQL does it
+                dot_ = lambda x, y: np.cumsum(x * y, axis=1)[:, -1]
+                x, y = v[r[e]], v[c[e]]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    s[e] = dot_(x, y) / np.sqrt(dot_(x, x) * dot_(y, y))
+            hit = (s >= least) & (r != c)
+            r, c = r[hit], c[hit]
+            far += np.bincount(r, n[c], len(k))
+            if i != j:
+                far += np.bincount(c, n[r], len(k))
+            graph.join(parent, place[r], place[c])
+        some = np.flatnonzero(far)
+        return pa.table({"node": k[some], "far": far[some].astype(np.int64), "low": np.sort(k)[parent[place[some]]]})
+
+    packs = sides.groupBy("dims", "block").applyInArrow(pack, "dims int, block int, k array<long>, n array<long>, v binary")
+    both = packs.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    both = both.select("dims", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "k", "n", "v")
+    return both.repartition(min(4096, parts * (parts + 1) // 2), "dims", "i", "j").groupBy("dims", "i", "j").applyInArrow(meet, "node long, far long, low long")
+
+
 def minhash_pairs(rows: DataFrame, key: str, text: str, gram: int, least: float, bands: int = 24, width: int = 3) -> DataFrame:
     """(a, b, jaccard), a < b, of pairs of distinct texts that share a band of MinHash values and are as alike as ``least``.
 
