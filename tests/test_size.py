@@ -98,6 +98,26 @@ def _against_sql(spark, tmp_path, name, **tables):
     assert sorted(got) == sorted(c.execute(registry.ORACLE[name]).fetchall())
 
 
+def test_audio_blend_as_in_sql_and_spread(spark, tmp_path):
+    """Scores in steps of 1/128 round halves away from zero as in SQL; pairs of one file are dealt out to tasks, whichever way sides meet."""
+    from textforge.operators import vectors
+
+    rows = [(i - 300, [((i * 7 + j * 3) % 17 - 8) / 8 for j in range(4)] + [1 / 16], i % 3) for i in range(900)]
+    _against_sql(spark, tmp_path, "audio_blend", embeddings=spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    items = spark.range(30_000).coalesce(1).select("id", F.array(F.col("id") % 7, F.lit(1)).cast("array<double>").alias("v"))
+    queries = items.where("id % 100 = 0").selectExpr("id AS q_id", "v AS q")
+    every = vectors.scored_pairs(queries, items, "q_id", "id")
+    assert every.rdd.getNumPartitions() >= 5
+    few, wide = queries.where("q_id < 600"), vectors.BROADCAST_MB
+    try:
+        sums = []
+        for vectors.BROADCAST_MB in (wide, 0):
+            sums.append(vectors.scored_pairs(few, items, "q_id", "id").agg(F.count("score"), F.sum("score")).first())
+    finally:
+        vectors.BROADCAST_MB = wide
+    assert tuple(sums[0]) == tuple(sums[1]) == (180_000, float(sum((q % 7) * (i % 7) + 1 for q in range(0, 600, 100) for i in range(30_000))))
+
+
 def test_similar_vectors_as_in_sql(spark, tmp_path):
     """Copies, one pair whose cosine is 9/20, and classes beyond one link."""
     import numpy as np
